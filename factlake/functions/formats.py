@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.functions.numbers import float_prefix, int_prefix
+from factlake.functions.numbers import int_prefix, wide
 
 # The grammar of a conversion spec, in groups.
 # printf: flags, width, .precision, precision, length, conversion
@@ -216,19 +218,25 @@ def _literal(text: str) -> str:
 
 
 def _value(text: Column, conversion: str, value_type: str) -> Column:
-    """``struct(value, ok)`` for the text one spec took."""
+    """``struct(value, ok)`` for the text one spec took; the pattern has settled its syntax."""
     if conversion == "c" or value_type == "str":
         return F.struct(text.alias("value"), F.lit(True).alias("ok"))
     if conversion == "g":
-        parsed = float_prefix(text)
-        number = parsed["value"].cast("float") if value_type == "f32" else parsed["value"]
-        return F.struct(number.alias("value"), (parsed["status"] == "ok").alias("ok"))
-    base = {"d": 10, "u": 10, "i": 0, "o": 8, "x": 16}[conversion]
-    parsed = int_prefix(text, base, signed=value_type.startswith("i"))
+        number = text.try_cast("double")
+        small = number.cast("float") if value_type == "f32" else number
+        huge = (F.abs(small) == float("inf")) & ~text.rlike("[iI]")
+        lost = (small == 0) & text.rlike(r"^[+-]?[0-9.]*[1-9]")
+        return F.struct(small.alias("value"), (~(huge | lost)).alias("ok"))
     low, high = _RANGES[value_type]
-    number = parsed["value"]
-    inside = (parsed["status"] == "ok") & (number >= F.lit(str(low)).cast("decimal(20,0)"))
-    inside = inside & (number <= F.lit(str(high)).cast("decimal(20,0)"))
+    if conversion in ("d", "u"):
+        number = text.try_cast("decimal(38,0)")
+        number = number if value_type.startswith("i") else F.abs(number)
+        exact = number.isNotNull()
+    else:
+        base = {"i": 0, "o": 8, "x": 16}[conversion]
+        parsed = int_prefix(text, base, signed=value_type.startswith("i"))
+        number, exact = parsed["value"], parsed["status"] == "ok"
+    inside = exact & number.between(wide(low), wide(high))
     kind = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "smallint", "u16": "int", "u32": "bigint"}
     small = F.when(inside, number).cast(kind.get(value_type, "decimal(20,0)"))
     return F.struct(small.alias("value"), inside.alias("ok"))
@@ -247,38 +255,30 @@ def extract_by_pattern(
         raise ValueError(f"the pattern keeps {len(kept)} values, not {len(names)}")
     text = F.col(col)
     matches = F.coalesce(text.rlike(regex), F.lit(False))
-    parsed = {
-        f"_v{i}": _value(F.regexp_extract(text, regex, i + 1), *spec) for i, spec in enumerate(kept)
-    }
+    texts = {f"_t{i}": F.regexp_extract(text, regex, i + 1) for i in range(len(kept))}
+    parsed = {f"_v{i}": _value(F.col(f"_t{i}"), *spec) for i, spec in enumerate(kept)}
     good = matches
     for i in range(len(kept)):
         good = good & F.when(matches, F.col(f"_v{i}.ok")).otherwise(F.lit(False))
-    wide = df.withColumns(parsed).withColumn("_good", good)
+    rows = df.withColumns(texts).withColumns(parsed).withColumn("_good", good)
     values = [F.col(f"_v{i}.value").alias(n) for i, n in enumerate(names)]
     rest = [F.col(c) for c in df.columns]
-    return wide.filter("_good").select(*rest, *values), wide.filter("NOT _good").select(*rest)
+    return rows.filter("_good").select(*rest, *values), rows.filter("NOT _good").select(*rest)
 
 
-def _general(value: Column, flags: str, width: str, precision: int) -> Column:
-    """``%g``: the shorter of fixed and exponent form, without trailing zeros unless ``#``."""
-    p = max(precision, 1)
-    sign = "".join(f for f in "+ " if f in flags)
-    exp_text = F.format_string(f"%{sign}.{p - 1}e", value)
-    power = F.regexp_extract(exp_text, r"e([+-][0-9]+)$", 1).cast("int")
+def _float_text(spec: str) -> Callable[[Column], Column]:
+    """Floating-point conversion with the rounding of C.
 
-    def trim(text: Column) -> Column:
-        if "#" in flags:
-            return text
-        return F.regexp_replace(text, r"(\.[0-9]*?)0+(?=e|$)", "$1")
+    Java rounds the shortest decimal form half up, C the exact binary value, and no built-in
+    expression gives the latter.  One Arrow batch is formatted at a time.
+    """
 
-    def no_dot(text: Column) -> Column:
-        return text if "#" in flags else F.regexp_replace(text, r"\.(?=e|$)", "")
+    @F.pandas_udf("string")
+    def convert(values: pd.Series) -> pd.Series:
+        # a missing double and a NaN look alike here: the caller restores the nulls
+        return pd.Series([spec % v for v in values.to_numpy(dtype="float64")], dtype="object")
 
-    fixed = F.lit(None).cast("string")
-    for x in range(-4, p):
-        fixed = F.when(power == x, F.format_string(f"%{sign}.{p - 1 - x}f", value)).otherwise(fixed)
-    text = no_dot(trim(F.coalesce(fixed, exp_text)))
-    return _padded(text, flags, width)
+    return convert
 
 
 def _padded(text: Column, flags: str, width: str) -> Column:
@@ -340,19 +340,8 @@ def _rendered(
         return _padded(F.chr(value), flags.replace("0", ""), width)
     if folded in ("f", "e", "g"):
         number = value.cast("double")
-        digits = int(precision or 0) if dotted else 6
-        sign = "".join(f for f in "+ " if f in flags)
-        if folded == "g":
-            text = _general(number, flags, width, digits)
-        else:
-            hash_ = "#" if "#" in flags else ""
-            text = _padded(F.format_string(f"%{sign}{hash_}.{digits}{folded}", number), flags, width)
-        minus = F.when(number < 0, "-").otherwise(F.lit(sign[:1]))
-        special = F.when(F.isnan(number), F.lit("nan")).when(
-            F.abs(number) == float("inf"), F.concat(minus, F.lit("inf"))
-        )
-        text = F.coalesce(_padded(special, flags.replace("0", ""), width), text)
-        return F.upper(text) if conversion.isupper() else text
+        spec = f"%{flags}{width}{'.' + precision if dotted else ''}{conversion}"
+        return F.when(number.isNotNull(), _float_text(spec)(number))
     return _integer(value, flags, width, dotted, precision, folded, value_type)
 
 

@@ -18,7 +18,7 @@ I64_MIN = -(1 << 63)
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
-def _wide(value: int) -> Column:
+def wide(value: int) -> Column:
     return F.lit(str(value)).cast("decimal(20,0)")
 
 
@@ -44,7 +44,7 @@ def _unsigned(digits: Column, base: int) -> Column:
     fits = (F.length(bare) < len(top)) | ((F.length(bare) == len(top)) & (bare <= top))
     # conv raises on overflow under ANSI, so it only sees strings that fit
     number = bare if base == 10 else F.conv(bare, base, 10)
-    return F.when(bare == "", _wide(0)).when(fits, number.cast("decimal(20,0)"))
+    return F.when(bare == "", wide(0)).when(fits, number.cast("decimal(20,0)"))
 
 
 def int_prefix(text: Column, base: int = 10, signed: bool = True) -> Column:
@@ -88,16 +88,16 @@ def int_prefix(text: Column, base: int = 10, signed: bool = True) -> Column:
         number = _unsigned(digits, base)
 
     if signed:
-        limit = F.when(token.startswith("-"), _wide(-I64_MIN)).otherwise(_wide(I64_MAX))
+        limit = F.when(token.startswith("-"), wide(-I64_MIN)).otherwise(wide(I64_MAX))
         over = number.isNull() | (number > limit)
-        clamped = F.when(token.startswith("-"), _wide(I64_MIN)).otherwise(_wide(I64_MAX))
+        clamped = F.when(token.startswith("-"), wide(I64_MIN)).otherwise(wide(I64_MAX))
         exact = F.when(token.startswith("-"), -number).otherwise(number)
     else:
         over = number.isNull()
-        clamped = _wide(U64_MAX)
+        clamped = wide(U64_MAX)
         exact = number
     none = digits_only == ""
-    value = F.when(none, _wide(0)).when(over, clamped).otherwise(exact)
+    value = F.when(none, wide(0)).when(over, clamped).otherwise(exact)
     status = F.when(none, "no_number").when(over, "out_of_range").otherwise("ok")
     rest = F.substring(text, F.length(taken) + 1, F.lit(1 << 30))
     result = F.struct(value.cast(kind).alias("value"), status.alias("status"), rest.alias("rest"))
@@ -157,8 +157,8 @@ def float_prefix(text: Column) -> Column:
 
 
 def _unpacked(df: DataFrame, parsed: Column) -> DataFrame:
-    wide = df.withColumn("_p", parsed)
-    return wide.select(
+    rows = df.withColumn("_p", parsed)
+    return rows.select(
         *[F.col(c) for c in df.columns],
         F.col("_p.value").alias("value"),
         F.col("_p.status").alias("status"),

@@ -144,7 +144,7 @@ def a7(t):
     return op.equivalence_classes(t.documents, "doc_id", [F.col("text")])
 
 
-_MARK = "coalesce(min(epoch_ms(ts)) FILTER (event_type = '{}'), 0)"
+_MARK = "coalesce(min(epoch_us(ts) // 1000) FILTER (event_type = '{}'), 0)"
 
 
 @query(

@@ -179,7 +179,7 @@ def _label_tables(g):
     node = F.col("id").alias("node")
     gen = g.nodes.filter("flag = 'R'").select(node, (F.col("supp") % 3).alias("label"))
     kill = g.nodes.filter("status = 'F'").select(node, ((F.col("supp") + 1) % 3).alias("label"))
-    need = g.nodes.select(node, F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("label"))
+    need = g.nodes.select(node, F.explode(F.sequence(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("label"))
     more = g.nodes.filter("flag <> 'A'").select(node, F.lit(2).cast("bigint").alias("label"))
     return gen, kill, need.unionByName(more)
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.checks import assert_edges_closed
-from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, grow, relax
-from factlake.plans.scratch import Scratch
+from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, follow, grow, spread
+from factlake.plans.scratch import Scratch, Table
 from factlake.plans.skew import attach_group, global_row_number, running_sum, salted_join
 
 
@@ -38,12 +38,13 @@ def reachable(
     edges: DataFrame, seeds: DataFrame, *, max_rounds: int = DEFAULT_MAX_ROUNDS
 ) -> DataFrame:
     """Ids reachable from ``seeds(id)``, the seeds included."""
-    arcs = _stored(edges, "reach")
+    return _reach(_stored(edges, "reach"), seeds, max_rounds)
 
-    def step(delta: DataFrame) -> DataFrame:
-        return delta.join(arcs, delta["id"] == arcs["src"]).select(arcs["dst"].alias("id"))
 
-    return grow(seeds.select("id"), step, name="reach", max_rounds=max_rounds)
+def _reach(arcs: DataFrame, seeds: DataFrame, max_rounds: int) -> DataFrame:
+    return grow(
+        seeds.select("id"), lambda delta: follow(delta, arcs, "id"), name="reach", max_rounds=max_rounds
+    )
 
 
 def split_by_closure(
@@ -68,12 +69,12 @@ def transitive_closure(
     start = arcs
     if sources is not None:
         start = arcs.join(sources.select(F.col("id").alias("src")), "src", "left_semi")
-    hop = arcs.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
-
-    def step(delta: DataFrame) -> DataFrame:
-        return delta.join(hop, delta["dst"] == hop["mid"]).select("src", hop["to"].alias("dst"))
-
-    return grow(start.select("src", "dst"), step, name="closure", max_rounds=max_rounds)
+    return grow(
+        start.select("src", "dst"),
+        lambda delta: follow(delta, arcs, "dst"),
+        name="closure",
+        max_rounds=max_rounds,
+    )
 
 
 def reflexive_closure(
@@ -86,70 +87,38 @@ def reflexive_closure(
     return transitive_closure(edges, sources).unionByName(own).distinct()
 
 
-def _spread_max(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
-    """``(id, colour)``: the largest id among a node and everything that reaches it."""
-    arcs = edges
-
-    def step(changed: DataFrame) -> DataFrame:
-        sent = changed.join(arcs, changed["id"] == arcs["src"])
-        return sent.groupBy(arcs["dst"].alias("id")).agg(F.max("colour").alias("offer"))
-
-    def merge(state: DataFrame, offers: DataFrame) -> DataFrame:
-        better = F.coalesce(F.col("offer") > F.col("colour"), F.lit(False))
-        return state.join(offers, "id", "left").select(
-            "id", F.greatest("colour", "offer").alias("colour"), better.alias("changed")
-        )
-
-    start = nodes.select("id", F.col("id").alias("colour"))
-    return relax(start, step, merge, name="colour", max_rounds=max_rounds)
-
-
 def strong_components(
     edges: DataFrame, nodes: DataFrame, *, max_rounds: int = DEFAULT_MAX_ROUNDS
 ) -> DataFrame:
     """``(node, comp)`` with ``comp`` the smallest member; singletons included.
 
-    Nodes without an incoming or outgoing edge are trimmed first.  Then each node takes the largest
-    id that reaches it, and the nodes of one colour that reach back to the node the colour is named
-    after are one component.  Edges between colours cannot lie in a component and are dropped.
+    Edges that cannot lie on a cycle are trimmed first: nothing enters their source or nothing
+    leaves their target.  Then each node takes the largest id that reaches it, and the nodes of one
+    colour that reach back to the node the colour is named after are one component.  What is left
+    inside a colour goes round again; edges between colours are never part of a component.
     """
     scratch = Scratch(edges.sparkSession, "scc")
     arcs = scratch.save(
         edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "e"
-    ).df
-    left = scratch.save(nodes.select("id").distinct(), "n")
+    )
     found: list[str] = []
-    like = left.df.select(F.col("id").alias("node"), F.col("id").alias("comp"))
-
+    like = nodes.select(F.col("id").alias("node"), F.col("id").alias("comp"))
     for _ in range(max_rounds):
-        if not left.rows:
+        arcs = _trimmed(scratch, arcs, max_rounds)
+        if not arcs.rows:
             break
-        heads = arcs.select(F.col("src").alias("id"))
-        tails = arcs.select(F.col("dst").alias("id"))
-        inner = scratch.save(
-            left.df.join(heads, "id", "left_semi").join(tails, "id", "left_semi"), "n"
-        )
-        if inner.rows < left.rows:
-            single = left.df.join(inner.df, "id", "left_anti")
-            found.append(
-                scratch.save(
-                    single.select(F.col("id").alias("node"), F.col("id").alias("comp")), "f"
-                ).path
-            )
-            left = inner
-            if left.rows:
-                arcs = scratch.save(_between(arcs, left.df), "e").df
-            continue
-        colours = _spread_max(arcs, left.df, max_rounds)
-        same_colour = scratch.save(
-            arcs.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("_a")), "src")
+        ids = arcs.df.select(F.col("src").alias("id")).distinct()
+        own = ids.select("id", F.col("id").alias("colour"))
+        colours = spread(own, arcs.df, [], ["colour"], name="colour", max_rounds=max_rounds)
+        inside = scratch.save(
+            arcs.df.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("_a")), "src")
             .join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("_b")), "dst")
             .filter("_a = _b")
             .select("src", "dst"),
             "e",
-        ).df
+        )
         roots = colours.filter("id = colour").select("id")
-        members = reachable(swap(same_colour), roots, max_rounds=max_rounds)
+        members = _reach(swap(inside.df), roots, max_rounds)
         confirmed = scratch.save(
             colours.join(members, "id", "left_semi").select(
                 F.col("id").alias("node"), F.col("colour").alias("comp")
@@ -157,21 +126,47 @@ def strong_components(
             "f",
         )
         found.append(confirmed.path)
-        left = scratch.save(
-            left.df.join(confirmed.df.select(F.col("node").alias("id")), "id", "left_anti"), "n"
+        gone = confirmed.df
+        rest = inside.df.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(
+            gone.select(F.col("node").alias("dst")), "dst", "left_anti"
         )
-        if left.rows:
-            arcs = scratch.save(_between(same_colour, left.df), "e").df
-    if left.rows:
-        raise NotConverged(f"strong components: {left.rows} nodes left after {max_rounds} rounds")
+        arcs = scratch.save(rest.select("src", "dst"), "e")
+    if arcs.rows:
+        raise NotConverged(f"strong components: edges left after {max_rounds} rounds")
     if not found:
-        return like
-    labelled = scratch.read(found, like)
-    return attach_group(labelled, ["comp"], F.min("node").alias("least")).select(
-        "node", F.col("least").alias("comp")
+        return like.distinct()
+    # members of a cycle get their smallest member, everything else is alone
+    least = attach_group(scratch.read(found, like), ["comp"], F.min("node").alias("least"))
+    labels = least.select("node", F.col("least").alias("_comp"))
+    return (
+        nodes.select(F.col("id").alias("node"))
+        .distinct()
+        .join(labels, "node", "left")
+        .select("node", F.coalesce("_comp", "node").alias("comp"))
     )
 
 
+def _trimmed(scratch: Scratch, arcs: Table, max_rounds: int) -> Table:
+    """Edges whose source is entered and whose target is left, over and over."""
+
+    def once(df: DataFrame) -> DataFrame:
+        entered = df.select(F.col("dst").alias("src"))
+        left = df.select(F.col("src").alias("dst"))
+        kept = df.join(entered, "src", "left_semi").join(left, "dst", "left_semi")
+        return kept.select("src", "dst")
+
+    for _ in range(max_rounds):
+        if not arcs.rows:
+            return arcs
+        # a second pass in the same plan saves a round
+        fewer = scratch.save(once(once(arcs.df)), "e")
+        scratch.drop(arcs.path)
+        if fewer.rows == arcs.rows:
+            return fewer
+        arcs = fewer
+    raise NotConverged(f"strong components: still trimming after {max_rounds} rounds")
+
+
 def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes``."""
     src, dst = nodes.select(F.col("id").alias("src")), nodes.select(F.col("id").alias("dst"))
@@ -196,20 +191,9 @@ def sink_levels(
     comp_edges: DataFrame, nodes: DataFrame, *, max_rounds: int = DEFAULT_MAX_ROUNDS
 ) -> DataFrame:
     """``(id, level)``: the longest distance to a node without successors.  Needs an acyclic graph."""
-    arcs = _stored(comp_edges, "levels")
-
-    def step(changed: DataFrame) -> DataFrame:
-        sent = changed.join(arcs, changed["id"] == arcs["dst"])
-        return sent.groupBy(arcs["src"].alias("id")).agg((F.max("level") + 1).alias("offer"))
-
-    def merge(state: DataFrame, offers: DataFrame) -> DataFrame:
-        better = F.coalesce(F.col("offer") > F.col("level"), F.lit(False))
-        return state.join(offers, "id", "left").select(
-            "id", F.greatest("level", "offer").alias("level"), better.alias("changed")
-        )
-
+    arcs = _stored(swap(comp_edges), "levels")
     start = nodes.select("id", F.lit(0).cast("bigint").alias("level")).distinct()
-    return relax(start, step, merge, name="levels", max_rounds=max_rounds)
+    return spread(start, arcs, [], ["level"], name="levels", add=1, max_rounds=max_rounds)
 
 
 def post_order(
@@ -309,14 +293,12 @@ def propagate_labels(
 ) -> DataFrame:
     """``(node, label)`` for every node reachable from a seed of that label, seeds included."""
     arcs = _stored(edges, "labels")
-
-    def step(delta: DataFrame) -> DataFrame:
-        return delta.join(arcs, delta["node"] == arcs["src"]).select(
-            arcs["dst"].alias("node"), "label"
-        )
-
     return grow(
-        seeds.select("node", "label"), step, name="labels", max_rounds=max_rounds, hops=max_hops
+        seeds.select("node", "label"),
+        lambda delta: follow(delta, arcs, "node"),
+        name="labels",
+        max_rounds=max_rounds,
+        hops=max_hops,
     )
 
 
@@ -342,17 +324,13 @@ def propagate_blocked(
     arcs = _stored(edges if direction == "forward" else swap(edges), "blocked")
     keys = ["node", "label"]
 
-    def push(facts: DataFrame) -> DataFrame:
-        return facts.join(arcs, facts["node"] == arcs["src"]).select(
-            arcs["dst"].alias("node"), "label"
-        )
-
     def step(delta: DataFrame) -> DataFrame:
         kept = delta if require is None else delta.join(require.select(*keys), keys, "left_semi")
         kept = kept if kill is None else kept.join(kill.select(*keys), keys, "left_anti")
-        return push(kept)
+        return follow(kept, arcs, "node")
 
-    return grow(push(gen.select(*keys)), step, name="blocked", max_rounds=max_rounds)
+    start = follow(gen.select(*keys), arcs, "node").select(*keys)
+    return grow(start, step, name="blocked", max_rounds=max_rounds)
 
 
 def taint(
@@ -408,12 +386,14 @@ def lineage_producers(
             "owner", "dst", F.col("callee").alias("from_owner"), F.lit(result).cast("bigint").alias("src")
         )
     )
-    arcs = scratch.save(flows.distinct().join(cut, ["owner", "dst"], "left_anti"), "e").df
+    arcs = scratch.save(flows.distinct().join(cut, ["owner", "dst"], "left_anti"), "e").df.select(
+        F.col("owner").alias("_owner"), "dst", F.col("from_owner").alias("owner"), F.col("src").alias("local")
+    )
     start = seeds.select("owner", "dst").join(cut, ["owner", "dst"], "left_anti")
 
     def step(delta: DataFrame) -> DataFrame:
-        match = (delta["owner"] == arcs["from_owner"]) & (delta["local"] == arcs["src"])
-        return delta.join(arcs, match).select(arcs["owner"], arcs["dst"].alias("local"))
+        moved = delta.join(arcs, ["owner", "local"])
+        return moved.select(F.col("_owner").alias("owner"), F.col("dst").alias("local"))
 
     facts = grow(
         start.select("owner", F.col("dst").alias("local")),
@@ -436,24 +416,10 @@ def reach_summary(
     No label gives ``top``, one distinct label ``elem``, several ``bottom``.  Only the smallest and
     the largest label travel, so the state is two values for each node however many labels exist.
     """
-    arcs = _stored(edges, "summary")
+    arcs = _stored(swap(edges), "summary")
     own = labels.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     start = nodes.select("id").distinct().join(own, "id", "left")
-
-    def step(changed: DataFrame) -> DataFrame:
-        sent = changed.filter("lo IS NOT NULL").join(arcs, changed["id"] == arcs["dst"])
-        return sent.groupBy(arcs["src"].alias("id")).agg(
-            F.min("lo").alias("_lo"), F.max("hi").alias("_hi")
-        )
-
-    def merge(state: DataFrame, offers: DataFrame) -> DataFrame:
-        lo, hi = F.least("lo", "_lo"), F.greatest("hi", "_hi")
-        moved = ~(F.col("lo").eqNullSafe(lo) & F.col("hi").eqNullSafe(hi))
-        return state.join(offers, "id", "left").select(
-            "id", lo.alias("lo"), hi.alias("hi"), moved.alias("changed")
-        )
-
-    final = relax(start, step, merge, name="summary", max_rounds=max_rounds)
+    final = spread(start, arcs, ["lo"], ["hi"], name="summary", max_rounds=max_rounds)
     state = F.when(F.col("lo").isNull(), "top").when(F.col("lo") == F.col("hi"), "elem")
     return final.select(
         "id",
@@ -472,7 +438,9 @@ def expand_dependencies(
     is the list of positions from the root.  A cycle is reported once ``max_depth`` is passed.
     """
     scratch = Scratch(deps.sparkSession, "expand")
-    arcs = scratch.save(deps.select("parent", "pos", "child").distinct(), "e").df
+    arcs = scratch.save(
+        deps.select(F.col("parent").alias("node"), "pos", "child").distinct(), "e"
+    ).df
     begin = F.array().cast("array<bigint>")
     frontier = scratch.save(
         roots.select(F.col("node").alias("root"), "node", begin.alias("path")), "f"
@@ -486,13 +454,12 @@ def expand_dependencies(
         if hit.rows == frontier.rows:
             break
         inner = frontier.df.filter(~is_leaf)
-        match = inner["node"] == arcs["parent"]
-        missing = inner.join(arcs, match, "left_anti").limit(3).collect()
+        missing = inner.join(arcs, "node", "left_anti").limit(3).collect()
         if missing:
             raise ValueError(f"no dependencies for {[r['node'] for r in missing]}")
         longer = F.concat("path", F.array(F.col("pos").cast("bigint")))
         frontier = scratch.save(
-            inner.join(arcs, match).select(
+            inner.join(arcs, "node").select(
                 "root", F.col("child").alias("node"), longer.alias("path")
             ),
             "f",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, relax
-from factlake.plans.scratch import Scratch
+from factlake.plans.scratch import Scratch, Table
 from factlake.plans.skew import (
     global_row_number,
     global_running_sum,
@@ -163,8 +163,8 @@ def first_wins_propagation(
         *keys, F.col("var").alias("grp"), F.lit(-1).cast("bigint").alias("t")
     ).distinct()
 
-    def step(changed: DataFrame) -> DataFrame:
-        from_ = changed.select("scope", F.col("var").alias("_src"), "grp", "t")
+    def step(changed: Table) -> DataFrame:
+        from_ = changed.df.select("scope", F.col("var").alias("_src"), "grp", "t")
         usable = arcs.join(from_, ["scope", "_src"]).filter("_t > t")
         best = usable.groupBy(*keys).agg(F.min(F.struct("_t", "grp")).alias("_m"))
         return best.select(*keys, F.col("_m._t").alias("_t"), F.col("_m.grp").alias("_grp"))

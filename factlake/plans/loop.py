@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factlake.plans.scratch import Scratch, Table
 
 DEFAULT_MAX_ROUNDS = 10_000
 _COMPACT_AFTER = 12
+# A round on few rows is mostly fixed cost, so several hops share one; on many rows each hop is
+# de-duplicated against the state first.
+_SMALL_DELTA = 100_000
+_HOPS_PER_ROUND = 4
 
 
 class NotConverged(RuntimeError):
     """A loop hit ``max_rounds`` before its fixpoint; nothing is truncated silently."""
 
 
+def follow(rows: DataFrame, arcs: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``key`` moved along ``arcs(src, dst)``, one row for each arc."""
+    to = arcs.select(F.col("src").alias(key), F.col("dst").alias("_to"))
+    rest = [c for c in rows.columns if c != key]
+    return rows.join(to, key).select(F.col("_to").alias(key), *rest)
+
+
 def grow(
     start: DataFrame,
     step: Callable[[DataFrame], DataFrame],
@@ -35,14 +48,16 @@ def grow(
     keys = start.columns
     delta = scratch.save(start.distinct(), "d")
     parts = [delta.path]
-    rounds = 0
-    while delta.rows and (hops is None or rounds < hops):
-        if rounds >= max_rounds:
+    done = 0
+    while delta.rows and (hops is None or done < hops):
+        if done >= max_rounds:
             raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")
+        width = _HOPS_PER_ROUND if delta.rows <= _SMALL_DELTA else 1
+        width = min(width, max_rounds - done, hops - done if hops is not None else width)
+        found = _several(delta.df, lambda rows: step(rows).select(*keys).distinct(), width)
         known = scratch.read(parts, start)
-        fresh = step(delta.df).select(*keys).distinct().join(known, keys, "left_anti")
-        delta = scratch.save(fresh, "d")
-        rounds += 1
+        delta = scratch.save(found.distinct().join(known, keys, "left_anti"), "d")
+        done += width
         if delta.rows:
             parts.append(delta.path)
         if len(parts) > _COMPACT_AFTER:
@@ -51,9 +66,59 @@ def grow(
     return scratch.read(parts, start)
 
 
+def _several(
+    rows: DataFrame, step: Callable[[DataFrame], DataFrame], times: int
+) -> DataFrame:
+    """The rows found by one to ``times`` steps; shared shuffles are reused inside the plan."""
+    fronts = [step(rows)]
+    for _ in range(times - 1):
+        fronts.append(step(fronts[-1]))
+    return reduce(DataFrame.unionByName, fronts)
+
+
+def spread(
+    start: DataFrame,
+    arcs: DataFrame,
+    lower: list[str],
+    upper: list[str],
+    *,
+    name: str,
+    add: int = 0,
+    max_rounds: int = DEFAULT_MAX_ROUNDS,
+) -> DataFrame:
+    """Send values along ``arcs(src, dst)`` and keep the extremes at each node.
+
+    ``start(id, …)`` has one row for each node; columns in ``lower`` keep the smallest value that
+    arrives, those in ``upper`` the largest.  Each hop adds ``add``.  Nulls are not sent.
+    """
+    folds = {**dict.fromkeys(lower, (F.min, F.least)), **dict.fromkeys(upper, (F.max, F.greatest))}
+
+    def hop(rows: DataFrame) -> DataFrame:
+        sent = follow(rows.select("id", *folds), arcs, "id")
+        return fold(sent.select("id", *[(F.col(c) + add).alias(c) for c in folds]) if add else sent)
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(*[f(c).alias(c) for c, (f, _) in folds.items()])
+
+    def step(changed: Table) -> DataFrame:
+        width = _HOPS_PER_ROUND if changed.rows <= _SMALL_DELTA else 1
+        some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in folds])
+        return fold(_several(changed.df.filter(some), hop, width))
+
+    def merge(state: DataFrame, offers: DataFrame) -> DataFrame:
+        offered = offers.select("id", *[F.col(c).alias(f"_{c}") for c in folds])
+        best = {c: g(F.col(c), F.col(f"_{c}")) for c, (_, g) in folds.items()}
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in best.items()])
+        return state.join(offered, "id", "left").select(
+            "id", *[v.alias(c) for c, v in best.items()], (~same).alias("changed")
+        )
+
+    return relax(start, step, merge, name=name, max_rounds=max_rounds)
+
+
 def relax(
     state: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
+    step: Callable[[Table], DataFrame],
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     *,
     name: str,
@@ -65,15 +130,15 @@ def relax(
     returns the full new state with a boolean ``changed`` column.  Ends when nothing changes.
     """
     scratch = Scratch(state.sparkSession, name)
-    current: Table = scratch.save(state, "s")
-    changed = current.df
+    current = scratch.save(state, "s")
+    changed = current
     for _ in range(max_rounds):
-        following = scratch.save(merge(current.df, step(changed)), "s")
-        moved = following.df.filter("changed").drop("changed")
-        done = moved.isEmpty()
+        path = scratch.save(merge(current.df, step(changed)), "s").path
+        following = scratch.read([path], current.df.withColumn("changed", F.lit(True)))
+        moved = following.filter("changed").drop("changed")
+        changed = Table(moved, path, moved.count())
         scratch.drop(current.path)
-        current = Table(following.df.drop("changed"), following.path, following.rows)
-        changed = moved
-        if done:
+        current = Table(following.drop("changed"), path, current.rows)
+        if not changed.rows:
             return current.df
     raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")

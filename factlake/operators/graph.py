@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from factlake.operators.checks import assert_edges_closed
 from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, follow, grow, spread
 from factlake.plans.scratch import Scratch, Table
-from factlake.plans.skew import attach_group, global_row_number, running_sum, salted_join
+from factlake.plans.skew import (
+    attach_group,
+    global_row_number,
+    hot_floor,
+    running_sum,
+    salted_join,
+)
 
 
 def _stored(edges: DataFrame, name: str) -> DataFrame:
@@ -212,7 +218,8 @@ def connected_components(
     Large-star / small-star contraction: the number of rounds grows with the logarithm of the
     component size.  Ends when the edges are stars, which is checked exactly.
     """
-    scratch = Scratch(edges.sparkSession, "cc")
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "cc")
     pairs = edges.filter(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")
     )
@@ -220,10 +227,12 @@ def connected_components(
     for _ in range(max_rounds):
         if not stars.rows or _is_stars(stars.df):
             break
-        wide = scratch.save(_large_star(stars.df), "l")
-        narrow = scratch.save(_small_star(wide.df), "s")
+        # neither star has more edges than it was given
+        wide = _large_star(stars.df, stars.rows)
+        if stars.rows >= hot_floor(spark):
+            wide = scratch.save(wide, "l").df
+        narrow = scratch.save(_small_star(wide, stars.rows), "s")
         scratch.drop(stars.path)
-        scratch.drop(wide.path)
         stars = narrow
     else:
         raise NotConverged(f"connected components: no fixpoint after {max_rounds} rounds")
@@ -236,18 +245,20 @@ def connected_components(
     )
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, rows: int) -> DataFrame:
+    """Every node links its larger neighbours to the least node around it."""
     ends = pairs.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(
         pairs.select(F.col("low").alias("u"), F.col("high").alias("v"))
     )
     least = ends.groupBy(F.col("u").alias("low")).agg(F.min("v").alias("_m"))
-    joined = salted_join(pairs, least, ["low"])
+    joined = salted_join(pairs, least, ["low"], rows=rows)
     return joined.select("high", F.least("low", "_m").alias("low")).distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, rows: int) -> DataFrame:
+    """Every node links itself and its smaller neighbours to the least of them."""
     least = pairs.groupBy("high").agg(F.min("low").alias("_m"))
-    joined = salted_join(pairs, least, ["high"])
+    joined = salted_join(pairs, least, ["high"], rows=rows)
     moved = joined.filter("low <> _m").select(F.col("low").alias("high"), F.col("_m").alias("low"))
     return moved.unionByName(least.select("high", F.col("_m").alias("low"))).distinct()
 

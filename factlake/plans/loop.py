@@ -12,10 +12,6 @@ from factlake.plans.scratch import Scratch, Table
 
 DEFAULT_MAX_ROUNDS = 10_000
 _COMPACT_AFTER = 12
-# A round on few rows is mostly fixed cost, so several hops share one; on many rows each hop is
-# de-duplicated against the state first.
-_SMALL_DELTA = 100_000
-_HOPS_PER_ROUND = 4
 
 
 class NotConverged(RuntimeError):
@@ -52,12 +48,10 @@ def grow(
     while delta.rows and (hops is None or done < hops):
         if done >= max_rounds:
             raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")
-        width = _HOPS_PER_ROUND if delta.rows <= _SMALL_DELTA else 1
-        width = min(width, max_rounds - done, hops - done if hops is not None else width)
-        found = _several(delta.df, lambda rows: step(rows).select(*keys).distinct(), width)
+        found = step(delta.df).select(*keys).distinct()
         known = scratch.read(parts, start)
-        delta = scratch.save(found.distinct().join(known, keys, "left_anti"), "d")
-        done += width
+        delta = scratch.save(found.join(known, keys, "left_anti"), "d")
+        done += 1
         if delta.rows:
             parts.append(delta.path)
         if len(parts) > _COMPACT_AFTER:
@@ -66,16 +60,6 @@ def grow(
     return scratch.read(parts, start)
 
 
-def _several(
-    rows: DataFrame, step: Callable[[DataFrame], DataFrame], times: int
-) -> DataFrame:
-    """The rows found by one to ``times`` steps; shared shuffles are reused inside the plan."""
-    fronts = [step(rows)]
-    for _ in range(times - 1):
-        fronts.append(step(fronts[-1]))
-    return reduce(DataFrame.unionByName, fronts)
-
-
 def spread(
     start: DataFrame,
     arcs: DataFrame,
@@ -93,23 +77,17 @@ def spread(
     """
     folds = {**dict.fromkeys(lower, (F.min, F.least)), **dict.fromkeys(upper, (F.max, F.greatest))}
 
-    def hop(rows: DataFrame) -> DataFrame:
-        sent = follow(rows.select("id", *folds), arcs, "id")
-        return fold(sent.select("id", *[(F.col(c) + add).alias(c) for c in folds]) if add else sent)
-
-    def fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id").agg(*[f(c).alias(c) for c, (f, _) in folds.items()])
-
-    def step(changed: Table) -> DataFrame:
-        width = _HOPS_PER_ROUND if changed.rows <= _SMALL_DELTA else 1
+    def step(changed: DataFrame) -> DataFrame:
         some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in folds])
-        return fold(_several(changed.df.filter(some), hop, width))
+        sent = follow(changed.filter(some), arcs, "id")
+        # combined on the map side: a node with very many arcs gets one row per task
+        offers = {c: f(c) + add if add else f(c) for c, (f, _) in folds.items()}
+        return sent.groupBy("id").agg(*[v.alias(f"_{c}") for c, v in offers.items()])
 
     def merge(state: DataFrame, offers: DataFrame) -> DataFrame:
-        offered = offers.select("id", *[F.col(c).alias(f"_{c}") for c in folds])
         best = {c: g(F.col(c), F.col(f"_{c}")) for c, (_, g) in folds.items()}
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in best.items()])
-        return state.join(offered, "id", "left").select(
+        return state.join(offers, "id", "left").select(
             "id", *[v.alias(c) for c, v in best.items()], (~same).alias("changed")
         )
 
@@ -118,7 +96,7 @@ def spread(
 
 def relax(
     state: DataFrame,
-    step: Callable[[Table], DataFrame],
+    step: Callable[[DataFrame], DataFrame],
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     *,
     name: str,
@@ -131,14 +109,13 @@ def relax(
     """
     scratch = Scratch(state.sparkSession, name)
     current = scratch.save(state, "s")
-    changed = current
+    changed = current.df
     for _ in range(max_rounds):
         path = scratch.save(merge(current.df, step(changed)), "s").path
         following = scratch.read([path], current.df.withColumn("changed", F.lit(True)))
-        moved = following.filter("changed").drop("changed")
-        changed = Table(moved, path, moved.count())
         scratch.drop(current.path)
         current = Table(following.drop("changed"), path, current.rows)
-        if not changed.rows:
+        changed = following.filter("changed").drop("changed")
+        if changed.isEmpty():
             return current.df
     raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")

@@ -41,10 +41,20 @@ def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
-def hot_groups(df: DataFrame, by: list[str]) -> DataFrame | None:
-    """The at most 1024 groups that are too large for one task, or None."""
+def hot_floor(spark: SparkSession) -> int:
+    """Rows below which a group is never hot."""
+    return _setting(spark, HOT_ROWS_CONF, 1_000_000)
+
+
+def hot_groups(df: DataFrame, by: list[str], rows: int | None = None) -> DataFrame | None:
+    """The at most 1024 groups that are too large for one task, or None.
+
+    ``rows`` is an upper bound of the table's size, if known: a small table needs no look.
+    """
     spark = df.sparkSession
-    floor = _setting(spark, HOT_ROWS_CONF, 1_000_000)
+    floor = hot_floor(spark)
+    if rows is not None and rows < floor:
+        return None
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     top = sizes.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("total")).first()
     if top["top"] is None or top["top"] < max(floor, top["total"] / MAX_HOT):
@@ -53,12 +63,15 @@ def hot_groups(df: DataFrame, by: list[str]) -> DataFrame | None:
     return spark.createDataFrame(hot.collect(), hot.schema)  # at most MAX_HOT rows
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None
+) -> DataFrame:
     """Equi join that spreads hot keys of ``left`` over many tasks.
 
     ``right`` should have few rows for each key: rows of hot keys are repeated once per salt.
+    ``rows`` is as for ``hot_groups``.
     """
-    hot = hot_groups(left, on)
+    hot = hot_groups(left, on, rows)
     if hot is None:
         return left.join(right, on, how)
     marked = hot.withColumn("_salts", F.lit(SALTS))

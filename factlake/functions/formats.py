@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.functions.numbers import int_prefix, wide
+from factlake.functions.numbers import wide, with_int_prefix
 
 # The grammar of a conversion spec, in groups.
 # printf: flags, width, .precision, precision, length, conversion
@@ -147,6 +147,16 @@ _RANGES = {
     "u64": (0, (1 << 64) - 1),
 }
 
+_SPARK_TYPES = {
+    "i8": "tinyint",
+    "i16": "smallint",
+    "i32": "int",
+    "i64": "bigint",
+    "u8": "smallint",
+    "u16": "int",
+    "u32": "bigint",
+}
+
 
 def _count(width: str) -> str:
     return f"{{1,{int(width)}}}" if width else "+"
@@ -217,29 +227,28 @@ def _literal(text: str) -> str:
     return _BLANK.join(re.escape(p) for p in pieces)
 
 
-def _value(text: Column, conversion: str, value_type: str) -> Column:
-    """``struct(value, ok)`` for the text one spec took; the pattern has settled its syntax."""
+def _with_value(df: DataFrame, text: str, out: str, conversion: str, value_type: str) -> DataFrame:
+    """Add ``struct(value, ok)`` for the text one spec took; the pattern has settled its syntax."""
+    taken = F.col(text)
     if conversion == "c" or value_type == "str":
-        return F.struct(text.alias("value"), F.lit(True).alias("ok"))
+        return df.withColumn(out, F.struct(taken.alias("value"), F.lit(True).alias("ok")))
     if conversion == "g":
-        number = text.try_cast("double")
-        small = number.cast("float") if value_type == "f32" else number
-        huge = (F.abs(small) == float("inf")) & ~text.rlike("[iI]")
-        lost = (small == 0) & text.rlike(r"^[+-]?[0-9.]*[1-9]")
-        return F.struct(small.alias("value"), (~(huge | lost)).alias("ok"))
-    low, high = _RANGES[value_type]
+        number = taken.try_cast("float" if value_type == "f32" else "double")
+        huge = (F.abs(number) == float("inf")) & ~taken.rlike("[iI]")
+        lost = (number == 0) & taken.rlike(r"^[+-]?[0-9.]*[1-9]")
+        return df.withColumn(out, F.struct(number.alias("value"), (~(huge | lost)).alias("ok")))
     if conversion in ("d", "u"):
-        number = text.try_cast("decimal(38,0)")
+        number = taken.try_cast("decimal(38,0)")
         number = number if value_type.startswith("i") else F.abs(number)
         exact = number.isNotNull()
     else:
         base = {"i": 0, "o": 8, "x": 16}[conversion]
-        parsed = int_prefix(text, base, signed=value_type.startswith("i"))
-        number, exact = parsed["value"], parsed["status"] == "ok"
+        df = with_int_prefix(df, text, f"{out}_p", base, signed=value_type.startswith("i"))
+        number, exact = F.col(f"{out}_p.value"), F.col(f"{out}_p.status") == "ok"
+    low, high = _RANGES[value_type]
     inside = exact & number.between(wide(low), wide(high))
-    kind = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "smallint", "u16": "int", "u32": "bigint"}
-    small = F.when(inside, number).cast(kind.get(value_type, "decimal(20,0)"))
-    return F.struct(small.alias("value"), inside.alias("ok"))
+    small = F.when(inside, number).cast(_SPARK_TYPES.get(value_type, "decimal(20,0)"))
+    return df.withColumn(out, F.struct(small.alias("value"), inside.alias("ok")))
 
 
 def extract_by_pattern(
@@ -256,11 +265,13 @@ def extract_by_pattern(
     text = F.col(col)
     matches = F.coalesce(text.rlike(regex), F.lit(False))
     texts = {f"_t{i}": F.regexp_extract(text, regex, i + 1) for i in range(len(kept))}
-    parsed = {f"_v{i}": _value(F.col(f"_t{i}"), *spec) for i, spec in enumerate(kept)}
+    rows = df.withColumns(texts)
+    for i, spec in enumerate(kept):
+        rows = _with_value(rows, f"_t{i}", f"_v{i}", *spec)
     good = matches
     for i in range(len(kept)):
         good = good & F.when(matches, F.col(f"_v{i}.ok")).otherwise(F.lit(False))
-    rows = df.withColumns(texts).withColumns(parsed).withColumn("_good", good)
+    rows = rows.withColumn("_good", good)
     values = [F.col(f"_v{i}.value").alias(n) for i, n in enumerate(names)]
     rest = [F.col(c) for c in df.columns]
     return rows.filter("_good").select(*rest, *values), rows.filter("NOT _good").select(*rest)

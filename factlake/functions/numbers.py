@@ -47,8 +47,24 @@ def _unsigned(digits: Column, base: int) -> Column:
     return F.when(bare == "", wide(0)).when(fits, number.cast("decimal(20,0)"))
 
 
-def int_prefix(text: Column, base: int = 10, signed: bool = True) -> Column:
-    """``struct(value, status, rest)`` of the integer at the start of ``text``.
+def _staged(df: DataFrame, text: str, out: str, stages: list[dict[str, Column]]) -> DataFrame:
+    """Add ``out`` (a struct of value, status and rest) by way of the helper columns in ``stages``.
+
+    Each stage is a projection of its own: what a later stage uses more than once is then computed
+    once for each row instead of being copied into every use.
+    """
+    for stage in stages:
+        df = df.withColumns({f"{out}_{name}": column for name, column in stage.items()})
+    made = {f"{out}_{name}" for stage in stages for name in stage}
+    parts = [F.col(f"{out}_{name}").alias(name) for name in ("value", "status", "rest")]
+    result = F.when(F.col(text).isNotNull(), F.struct(*parts)).alias(out)
+    return df.select(*[F.col(c) for c in df.columns if c not in made], result)
+
+
+def with_int_prefix(
+    df: DataFrame, text: str, out: str, base: int = 10, signed: bool = True
+) -> DataFrame:
+    """Add ``out``: ``struct(value, status, rest)`` of the integer at the start of column ``text``.
 
     ``status`` is ``ok``, ``no_number``, ``out_of_range`` (the value is clamped) or ``bad_base``.
     ``rest`` is what is left after the blanks, sign, prefix and digits that were taken.  Base 0 reads
@@ -56,124 +72,127 @@ def int_prefix(text: Column, base: int = 10, signed: bool = True) -> Column:
     no number.
     """
     kind = "bigint" if signed else "decimal(20,0)"
+    s, c = F.col(text), lambda name: F.col(f"{out}_{name}")
     if base != 0 and not 2 <= base <= 36:
-        fail = F.struct(
-            F.lit(0).cast(kind).alias("value"), F.lit("bad_base").alias("status"), text.alias("rest")
-        )
-        return F.when(text.isNotNull(), fail)
+        fail = {"value": F.lit(0).cast(kind), "status": F.lit("bad_base"), "rest": s}
+        return _staged(df, text, out, [fail])
     if base == 0:
         body = "(?:0[xX][0-9a-fA-F]*|0[0-7]*|[1-9][0-9]*|)"
     elif base == 16:
         body = "(?:0[xX])?[0-9a-fA-F]*"
     else:
         body = f"[{_digit_class(base)}]*"
-    taken = F.regexp_extract(text, f"^{_BLANK}[+-]?{body}", 0)
-    token = F.ltrim(taken, F.lit(BLANKS))
-    digits = F.ltrim(token, F.lit("+-"))
-    hexed = F.lower(F.left(digits, F.lit(2))) == "0x"
-    after_x = F.substring(digits, 3, 1 << 30)
+    hexed = F.lower(F.left(c("number"), F.lit(2))) == "0x"
+    digits = c("number")
+    value = _unsigned(c("digits"), base or 10)
+    if base in (0, 16):
+        digits = F.when(hexed, F.substring(c("number"), 3, 1 << 30)).otherwise(digits)
     if base == 0:
-        octal = digits.startswith("0")
-        digits_only = F.when(hexed, after_x).otherwise(digits)
-        number = (
-            F.when(hexed, _unsigned(after_x, 16))
-            .when(octal, _unsigned(digits, 8))
-            .otherwise(_unsigned(digits, 10))
+        value = (
+            F.when(hexed, _unsigned(c("digits"), 16))
+            .when(c("digits").startswith("0"), _unsigned(c("digits"), 8))
+            .otherwise(value)
         )
-    elif base == 16:
-        digits_only = F.when(hexed, after_x).otherwise(digits)
-        number = _unsigned(digits_only, 16)
-    else:
-        digits_only = digits
-        number = _unsigned(digits, base)
-
     if signed:
-        limit = F.when(token.startswith("-"), wide(-I64_MIN)).otherwise(wide(I64_MAX))
-        over = number.isNull() | (number > limit)
-        clamped = F.when(token.startswith("-"), wide(I64_MIN)).otherwise(wide(I64_MAX))
-        exact = F.when(token.startswith("-"), -number).otherwise(number)
+        limit = F.when(c("negative"), wide(-I64_MIN)).otherwise(wide(I64_MAX))
+        clamped = F.when(c("negative"), wide(I64_MIN)).otherwise(wide(I64_MAX))
+        over = c("exact").isNull() | (c("exact") > limit)
+        exact = F.when(c("negative"), -c("exact")).otherwise(c("exact"))
     else:
-        over = number.isNull()
-        clamped = wide(U64_MAX)
-        exact = number
-    none = digits_only == ""
-    value = F.when(none, wide(0)).when(over, clamped).otherwise(exact)
-    status = F.when(none, "no_number").when(over, "out_of_range").otherwise("ok")
-    rest = F.substring(text, F.length(taken) + 1, F.lit(1 << 30))
-    result = F.struct(value.cast(kind).alias("value"), status.alias("status"), rest.alias("rest"))
-    return F.when(text.isNotNull(), result)
-
-
-def atoi(text: Column) -> Column:
-    """The low 32 bits, as a signed number, of the value clamped to 64 bits."""
-    low = int_prefix(text)["value"].bitwiseAND(F.lit(0xFFFFFFFF))
-    wrapped = F.when(low >= 1 << 31, low - F.lit(1 << 32)).otherwise(low)
-    return wrapped.cast("int")
+        clamped, over, exact = wide(U64_MAX), c("exact").isNull(), c("exact")
+    none = c("digits") == ""
+    return _staged(
+        df,
+        text,
+        out,
+        [
+            {"taken": F.regexp_extract(s, f"^{_BLANK}[+-]?{body}", 0)},
+            {"token": F.ltrim(c("taken"), F.lit(BLANKS))},
+            {"number": F.ltrim(c("token"), F.lit("+-")), "negative": c("token").startswith("-")},
+            {"digits": digits},
+            {"exact": value},
+            {
+                "value": F.when(none, wide(0)).when(over, clamped).otherwise(exact).cast(kind),
+                "status": F.when(none, "no_number").when(over, "out_of_range").otherwise("ok"),
+                "rest": F.substring(s, F.length(c("taken")) + 1, F.lit(1 << 30)),
+            },
+        ],
+    )
 
 
-def float_prefix(text: Column) -> Column:
-    """``struct(value, status, rest)`` of the floating-point number at the start of ``text``.
+def with_float_prefix(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: ``struct(value, status, rest)`` of the number at the start of column ``text``.
 
     ``inf``, ``infinity`` and ``nan`` count in any case, but no other beginning of them does.  An
     exponent without digits is taken from the text and does not count.  Hexadecimal is no number.
     Out of range: an infinite result, or zero although a digit is not.
     """
-    lead = F.regexp_extract(text, f"^{_BLANK}[+-]?", 0)
-    body = F.substring(text, F.length(lead) + 1, F.lit(1 << 30))
-    word = F.regexp_extract(
-        body, "(?i)^(?:i(?:n(?:f(?:i(?:n(?:i(?:ty?)?)?)?)?)?)?|n(?:an?)?)", 0
-    )
-    named = F.lower(word)
-    hexed = body.rlike("^0[xX]")
-    plain = F.regexp_extract(body, r"^[0-9]*\.?[0-9]*", 0)
-    exponent = F.regexp_extract(body, r"^[0-9]*\.?[0-9]*([eE][+-]?[0-9]*)?", 1)
-    has_digit = plain.rlike("[0-9]")
-    number = F.concat(plain, F.when(exponent.rlike("[0-9]"), exponent).otherwise("")).try_cast("double")
-    sign = F.when(lead.endswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-
+    s, c = F.col(text), lambda name: F.col(f"{out}_{name}")
+    word = "(?i)^(?:i(?:n(?:f(?:i(?:n(?:i(?:ty?)?)?)?)?)?)?|n(?:an?)?)"
     infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
-    lost = (F.abs(number) == infinite) | ((number == 0) & plain.rlike("[1-9]"))
-    value = (
-        F.when(named.isin("inf", "infinity"), sign * infinite)
-        .when(named == "nan", nan)
-        .when((named != "") | hexed | ~has_digit, F.lit(0.0))
-        .otherwise(sign * number)
-    )
-    status = (
-        F.when(named.isin("inf", "infinity", "nan"), "ok")
-        .when((named != "") | hexed | ~has_digit, "no_number")
-        .when(lost, "out_of_range")
-        .otherwise("ok")
-    )
+    exponent = F.substring(c("number"), F.length(c("plain")) + 1, F.lit(1 << 30))
+    counted = F.when(c("exponent").rlike("[0-9]"), c("number")).otherwise(c("plain"))
+    sign = F.when(c("lead").endswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    is_inf, is_nan = c("word").isin("inf", "infinity"), c("word") == "nan"
+    none = (c("word") != "") | c("hex") | ~c("digit")
+    lost = (c("size") == infinite) | ((c("size") == 0) & c("plain").rlike("[1-9]"))
     used = (
-        F.when(word != "", F.length(word))
-        .when(hexed, F.lit(0))
-        .when(has_digit, F.length(plain) + F.length(exponent))
-        .otherwise(F.length(plain))
+        F.when(c("word") != "", F.length(c("word")))
+        .when(c("hex"), F.lit(0))
+        .when(c("digit"), F.length(c("number")))
+        .otherwise(F.length(c("plain")))
     )
-    rest = F.substring(body, used + 1, F.lit(1 << 30))
-    result = F.struct(value.alias("value"), status.alias("status"), rest.alias("rest"))
-    return F.when(text.isNotNull(), result)
-
-
-def _unpacked(df: DataFrame, parsed: Column) -> DataFrame:
-    rows = df.withColumn("_p", parsed)
-    return rows.select(
-        *[F.col(c) for c in df.columns],
-        F.col("_p.value").alias("value"),
-        F.col("_p.status").alias("status"),
-        F.col("_p.rest").alias("rest"),
+    return _staged(
+        df,
+        text,
+        out,
+        [
+            {"lead": F.regexp_extract(s, f"^{_BLANK}[+-]?", 0)},
+            {"body": F.substring(s, F.length(c("lead")) + 1, F.lit(1 << 30))},
+            {
+                "word": F.lower(F.regexp_extract(c("body"), word, 0)),
+                "number": F.regexp_extract(c("body"), r"^[0-9]*\.?[0-9]*(?:[eE][+-]?[0-9]*)?", 0),
+                "hex": c("body").rlike("^0[xX]"),
+            },
+            {"plain": F.regexp_extract(c("number"), r"^[0-9.]*", 0)},
+            {"exponent": exponent, "digit": c("plain").rlike("[0-9]")},
+            {"size": counted.try_cast("double")},
+            {
+                "value": F.when(is_inf, sign * infinite)
+                .when(is_nan, nan)
+                .when(none, F.lit(0.0))
+                .otherwise(sign * c("size")),
+                "status": F.when(is_inf | is_nan, "ok")
+                .when(none, "no_number")
+                .when(lost, "out_of_range")
+                .otherwise("ok"),
+                "rest": F.substring(c("body"), used + 1, F.lit(1 << 30)),
+            },
+        ],
     )
 
 
+def with_atoi(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the low 32 bits, as a signed number, of the value clamped to 64 bits."""
+    parsed = with_int_prefix(df, text, "_atoi")
+    low = F.col("_atoi.value").bitwiseAND(F.lit(0xFFFFFFFF))
+    wrapped = F.when(low >= 1 << 31, low - F.lit(1 << 32)).otherwise(low)
+    return parsed.withColumn(out, wrapped.cast("int")).drop("_atoi")
+
+
+def _unpacked(df: DataFrame, packed: str) -> DataFrame:
+    rest = [F.col(c) for c in df.columns if c != packed]
+    return df.select(*rest, *[F.col(f"{packed}.{n}").alias(n) for n in ("value", "status", "rest")])
+
+
 def parse_int_prefix(df: DataFrame, col: str, base: int = 10, signed: bool = True) -> DataFrame:
     """Adds ``value``, ``status`` and ``rest``."""
-    return _unpacked(df, int_prefix(F.col(col), base, signed))
+    return _unpacked(with_int_prefix(df, col, "_p", base, signed), "_p")
 
 
 def parse_float_prefix(df: DataFrame, col: str) -> DataFrame:
     """Adds ``value``, ``status`` and ``rest``."""
-    return _unpacked(df, float_prefix(F.col(col)))
+    return _unpacked(with_float_prefix(df, col, "_p"), "_p")
 
 
 def parse_quality(parsed: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,6 @@ from factlake.plans.scratch import Scratch, Table
 from factlake.plans.skew import (
     attach_group,
     global_row_number,
-    hot_floor,
     running_sum,
     salted_join,
 )
@@ -218,21 +217,22 @@ def connected_components(
     Large-star / small-star contraction: the number of rounds grows with the logarithm of the
     component size.  Ends when the edges are stars, which is checked exactly.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "cc")
+    scratch = Scratch(edges.sparkSession, "cc")
     pairs = edges.filter(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")
     )
     stars = scratch.save(pairs.distinct(), "s")
+    settled = _is_stars(stars.df)
     for _ in range(max_rounds):
-        if not stars.rows or _is_stars(stars.df):
+        if settled:
             break
         # neither star has more edges than it was given
-        wide = _large_star(stars.df, stars.rows)
-        if stars.rows >= hot_floor(spark):
-            wide = scratch.save(wide, "l").df
-        narrow = scratch.save(_small_star(wide, stars.rows), "s")
+        wide = scratch.save(_large_star(stars.df, stars.rows), "l")
+        narrow = scratch.save(_small_star(wide.df, wide.rows), "s")
         scratch.drop(stars.path)
+        scratch.drop(wide.path)
+        # a round that keeps the number of edges may be the last: only then it is worth a look
+        settled = narrow.rows == stars.rows and _is_stars(narrow.df)
         stars = narrow
     else:
         raise NotConverged(f"connected components: no fixpoint after {max_rounds} rounds")

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from factlake.functions import numbers
 from tests.helpers import table
@@ -102,7 +101,7 @@ def test_null_and_quality(spark):
     [("42x", 42), ("-1", -1), ("2147483648", -(1 << 31)), ("4294967297", 1), ("9" * 30, -1), ("x", 0)],
 )
 def test_atoi_keeps_the_low_bits(spark, text, want):
-    assert spark.range(1).select(numbers.atoi(F.lit(text)).alias("v")).first()["v"] == want
+    assert numbers.with_atoi(table(spark, [(text,)], "s string"), "s", "v").first()["v"] == want
 
 
 def test_integers_without_ansi(spark):

@@ -270,11 +270,16 @@ def extract_by_pattern(
         rows = _with_value(rows, f"_t{i}", f"_v{i}", *spec)
     good = matches
     for i in range(len(kept)):
-        good = good & F.when(matches, F.col(f"_v{i}.ok")).otherwise(F.lit(False))
-    rows = rows.withColumn("_good", good)
+        good = good & F.col(f"_v{i}.ok")
+    # a row number is no pure function of the row, so Catalyst leaves the filter above it: pushed
+    # below, the filter would take a second copy of every expression in the columns it looks at
+    rows = rows.withColumns({"_good": good, "_row": F.monotonically_increasing_id()})
     values = [F.col(f"_v{i}.value").alias(n) for i, n in enumerate(names)]
     rest = [F.col(c) for c in df.columns]
-    return rows.filter("_good").select(*rest, *values), rows.filter("NOT _good").select(*rest)
+    return (
+        rows.filter("_good AND _row >= 0").select(*rest, *values),
+        rows.filter("NOT _good AND _row >= 0").select(*rest),
+    )
 
 
 def _float_text(spec: str) -> Callable[[Column], Column]:

@@ -14,7 +14,7 @@ from factlake.queries.graph_data import (
     supply,
 )
 from factlake.queries.registry import query
-from factlake.queries.sources import manifest_docs
+from factlake.queries.sources import MANIFEST_SQL, manifest_docs
 from factlake.sources.manifest import manifest_tables
 
 
@@ -301,17 +301,10 @@ def g16(t):
     return graph.reach_summary(g.edges, g.nodes, labels)
 
 
-_EXPANDED = """WITH ords AS (SELECT DISTINCT o_custkey, o_orderkey,
-        o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS exe FROM orders
-        WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
-    o AS (SELECT o_custkey AS c, o_orderkey AS o,
-        o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS exe FROM ords),
-    l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem),
-    visits AS (
-      SELECT c, 0 AS grp, o.o AS k, n FROM o JOIN l USING (o) WHERE NOT exe
-      UNION ALL SELECT c, 1, o.o, n FROM o JOIN l USING (o) WHERE exe),
-    numbered AS (SELECT 'c' || c || '/s' || n || '.c' AS leaf, 'c' || c AS folder,
-        row_number() OVER (PARTITION BY c ORDER BY grp, k, n) - 1 AS number FROM visits)"""
+_EXPANDED = f"""{MANIFEST_SQL},
+    visits AS (SELECT o, n, i, source, exe FROM t JOIN src USING (o, n)),
+    numbered AS (SELECT 'o' || o AS folder, 'o' || o || '/' || source AS leaf,
+        row_number() OVER (PARTITION BY o ORDER BY exe, n, i) - 1 AS number FROM visits)"""
 
 
 @query("g17_expand_dependencies", f"{_EXPANDED} SELECT folder, leaf, number FROM numbered")

@@ -125,7 +125,19 @@ def n3(t):
     return op.range_of(placed.select("owner", "pos", "start"), "owner", "pos", "start")
 
 
-@query("n4_first_wins_propagation")
+@query(
+    "n4_first_wins_propagation",
+    # with one starting group a variable is reached at the least time of any path of rising times
+    """WITH RECURSIVE kind(name, var) AS (VALUES ('view', 0), ('click', 1), ('signup', 2), ('purchase', 3), ('error', 4)),
+        log AS (SELECT user_id, event_id, event_type, lead(event_type) OVER (PARTITION BY user_id
+                ORDER BY ts, event_id) AS nxt FROM events),
+        move AS (SELECT user_id AS scope, event_id AS t, a.var AS src, b.var AS dst FROM log
+                 JOIN kind a ON a.name = event_type JOIN kind b ON b.name = nxt),
+        hit AS (SELECT DISTINCT user_id AS scope, 2 AS var, -1::BIGINT AS t FROM events
+                UNION SELECT m.scope, m.dst, m.t FROM hit h JOIN move m ON m.scope = h.scope AND m.src = h.var
+                AND m.t > h.t WHERE m.dst NOT IN (0, 2, 4))
+        SELECT scope, var::BIGINT AS var, 2::BIGINT AS grp, min(t) AS t FROM hit GROUP BY scope, var""",
+)
 def n4(t):
     log = t.events.select("user_id", "ts", "event_id", "event_type")
     moves = next_value(log, ["user_id"], ["ts", "event_id"], F.col("event_type"), "next_type")

@@ -111,26 +111,25 @@ def overlapping_members(
         ends = kept.groupBy(*cell).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
         shared = ends.filter("_lo <> _hi").select(*cell)
         return salted_join(kept, shared, cell, "left_semi").select(group, owner).distinct()
-    # owners of one cell and size: min <> max means a partner of the same size
-    ends = [F.min(owner).alias("_lo"), F.max(owner).alias("_hi")]
-    by_size = kept.groupBy(*cell, size).agg(*ends)
-    unsized = F.col(size).isNull()
+    # the size takes part in the join key, so a cell with many sizes does not multiply its rows
+    keyed = kept.withColumn("_s", F.coalesce(F.col(size).cast("string"), F.lit("")))
+    unsized = F.col("_s") == ""
+    by_size = keyed.groupBy(*cell, "_s").agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
     per_cell = by_size.groupBy(*cell).agg(
         F.min("_lo").alias("_all_lo"),
         F.max("_hi").alias("_all_hi"),
         F.min(F.when(unsized, F.col("_lo"))).alias("_un_lo"),
         F.max(F.when(unsized, F.col("_hi"))).alias("_un_hi"),
     )
-    facts = by_size.join(per_cell, cell).withColumnRenamed(size, "_size")
-    same_size = facts["_size"].eqNullSafe(F.col(size))
-    rows = kept.join(facts, [*cell], "inner").filter(same_size)
-    mine = F.col(owner)
+    rows = salted_join(keyed, by_size.join(per_cell, cell), [*cell, "_s"])
 
     def other(lo: str, hi: str) -> Column:
+        """Whether someone else is among the owners whose least and largest these are."""
+        mine = F.col(owner)
         return F.coalesce((F.col(lo) != mine) | (F.col(hi) != mine), F.lit(False))
 
-    partner = other("_lo", "_hi") | other("_un_lo", "_un_hi")
-    partner = F.when(F.col(size).isNull(), other("_all_lo", "_all_hi")).otherwise(partner)
+    sized_partner = other("_lo", "_hi") | other("_un_lo", "_un_hi")
+    partner = F.when(unsized, other("_all_lo", "_all_hi")).otherwise(sized_partner)
     return rows.filter(partner).select(group, owner).distinct()
 
 

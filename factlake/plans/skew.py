@@ -1,13 +1,15 @@
 """Group-wise work that stays even when one group holds a large share of all rows.
 
 Aggregates combine on the map side and joins are split by AQE, but a window sends a whole group to
-one task.  The helpers here look for *hot* groups first (a narrow, map-side combined count).  When
-there are none the plain Spark plan is used.  Hot groups are cut into slices by a range partitioning
-on (group, order); windows run inside slices and a carry table of one row per slice joins them up.
-
-Bounds: a group is hot only when it has at least ``factlake.hotGroupRows`` rows *and* at least 1/1024
-of all rows, so there are at most 1024 hot groups; slices number at most the shuffle partitions plus
-the hot groups.  Both tables are therefore safe to broadcast at any data size.
+one task.  The helpers here look for *hot* groups first, by counting a sample of the key columns.
+When there are none the plain Spark plan is used.  Hot groups are cut into slices by a range
+partitioning on (group, order); windows run inside slices and a carry table of one row per slice
+joins them up.  The sample settles only which plan is used: every plan works on all rows and gives
+the same result.
+
+Bounds: a group is hot only when the sample puts it at ``factlake.hotGroupRows`` rows or more *and* at
+1/1024 of all rows or more, so there are at most 1024 hot groups; slices number at most the shuffle
+partitions plus the hot groups.  Both tables are therefore safe to broadcast at any data size.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ HOT_ROWS_CONF = "factlake.hotGroupRows"
 BROADCAST_ROWS_CONF = "factlake.broadcastRows"
 MAX_HOT = 1024
 SALTS = 64
+_SAMPLED_ROWS = 4096
 
 
 def _setting(spark: SparkSession, key: str, default: int) -> int:
@@ -55,12 +58,19 @@ def hot_groups(df: DataFrame, by: list[str], rows: int | None = None) -> DataFra
     floor = hot_floor(spark)
     if rows is not None and rows < floor:
         return None
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    # a group of ``floor`` rows leaves thousands of rows in the sample; tiny floors count exactly
+    fraction = min(1.0, _SAMPLED_ROWS / floor)
+    keys = df.select(*by)
+    keys = keys.sample(fraction, seed=17) if fraction < 1 else keys
+    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     top = sizes.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("total")).first()
-    if top["top"] is None or top["top"] < max(floor, top["total"] / MAX_HOT):
+    if top["top"] is None:
+        return None
+    least = max(floor * fraction, top["total"] / MAX_HOT)
+    if top["top"] < least:
         return None
-    hot = sizes.filter(F.col("_rows") >= max(floor, top["total"] / MAX_HOT)).select(*by)
-    return spark.createDataFrame(hot.collect(), hot.schema)  # at most MAX_HOT rows
+    hot = sizes.filter(F.col("_rows") >= least).select(*by).limit(MAX_HOT)
+    return spark.createDataFrame(hot.collect(), hot.schema)
 
 
 def salted_join(

@@ -22,6 +22,25 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
+# operators that take another plan for hot groups
+SKEWED = [
+    "a1_all_of_group",
+    "a2_any_drop_empty",
+    "j1_resolve_refs",
+    "j5_overlap_by_size",
+    "j7_asof_attribute",
+    "n2_flatten_offsets",
+    "n5_dead_writes",
+    "p6_flag_listing",
+    "g8_supply_components",
+]
+
+
+@pytest.mark.parametrize("name", SKEWED)
+def test_query_with_hot_groups(spark, con, hot, name):
+    assert compare(QUERIES[name](Tables(spark, FOLDER)), con, ORACLES[name]) is None
+
+
 def test_entry(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 

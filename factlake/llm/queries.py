@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factlake.llm import simhash
+from factlake.llm import license_scan, simhash
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_simhash_dups": simhash.query,
 }
 ORACLES: dict[str, str] = {}

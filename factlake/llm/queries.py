@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from factlake.llm import license_scan, simhash
+from factlake.llm import language_id, license_scan, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_simhash_dups": simhash.query,
+    "op5_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {}

@@ -126,6 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
     known = linked.join(least, "comp").select("fp", "component_id")
     known = nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # a written table: the last join then has plain shuffles on both sides, which AQE splits at a hot fingerprint
+    known = scratch.save(known, "c").df
     return rows.join(known, "fp").select("id", "fp", "component_id")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from factlake.llm import language_id, license_scan, secret_scan, simhash
+from factlake.llm import language_id, license_scan, secret_scan, simhash, source_mix
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_simhash_dups": simhash.query,
     "op5_language_id": language_id.query,
     "op8_secret_scan": secret_scan.query,
+    "op9_source_mix": source_mix.query,
 }
 ORACLES: dict[str, str] = {
     "op8_secret_scan": secret_scan.ORACLE,
+    "op9_source_mix": source_mix.ORACLE,
 }

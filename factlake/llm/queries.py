@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlake.llm import language_id, license_scan, secret_scan, simhash, source_mix
+from factlake.llm import language_id, license_scan, packing, secret_scan, simhash, source_mix
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language_id.query,
     "op8_secret_scan": secret_scan.query,
     "op9_source_mix": source_mix.query,
+    "op4_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
     "op8_secret_scan": secret_scan.ORACLE,

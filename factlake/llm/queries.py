@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlake.llm import language_id, license_scan, packing, secret_scan, simhash, source_mix
+from factlake.llm import language_id, license_scan, line_templates, packing, secret_scan, simhash, source_mix
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_source_mix": source_mix.query,
     "op4_packing": packing.query,
+    "op6_line_templates": line_templates.query,
 }
 ORACLES: dict[str, str] = {
+    "op6_line_templates": line_templates.ORACLE,
     "op8_secret_scan": secret_scan.ORACLE,
     "op9_source_mix": source_mix.ORACLE,
 }

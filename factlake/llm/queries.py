@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlake.llm import language_id, license_scan, line_templates, packing, secret_scan, simhash, source_mix, warc
+from factlake.llm import ann_search, language_id, license_scan, line_templates, packing, secret_scan, simhash, source_mix, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_packing": packing.query,
     "op6_line_templates": line_templates.query,
     "op7_warc_index": warc.query,
+    "op10_ann_search": ann_search.query,
 }
 ORACLES: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ class Lists:
     entry: int
     radius: float
 
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return (self.centroids**2).sum(axis=1)
+
     @classmethod
     def fit(cls, vectors: np.ndarray, radius: float, lists: int) -> Lists:
         centroids = balanced_centroids(cls.lifted(vectors, radius), lists)
@@ -43,7 +48,7 @@ class Lists:
         length = np.linalg.norm(queries, axis=1, keepdims=True)
         return np.column_stack([queries * (self.radius / length), np.zeros(len(queries))])
 
-    def nearest(self, points: np.ndarray, ratio: float, beam: int = 32) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def nearest(self, points: np.ndarray, ratio: float, beam: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each point its number, the lists within ``ratio`` times the distance of the nearest, nearest first, and
         their distances; the graph is searched with wider beams until one reaches beyond the ratio."""
         todo = np.arange(len(points))
@@ -51,7 +56,8 @@ class Lists:
             here = points[todo]
 
             def reach(q: np.ndarray, v: np.ndarray, here: np.ndarray = here) -> np.ndarray:
-                return ((here[q][:, None] - self.centroids[v]) ** 2).sum(axis=2)
+                cross = np.einsum("qd,qvd->qv", here[q], self.centroids[v])
+                return np.maximum((here[q] ** 2).sum(axis=1)[:, None] + self.squares[v] - 2 * cross, 0)
 
             found, dist = beam_search(reach, len(todo), self.graph, self.entry, beam)
             dist = np.sqrt(dist)
@@ -62,14 +68,9 @@ class Lists:
             todo, beam = todo[wide], 2 * beam
 
     def homes(self, vectors: np.ndarray, ratio: float, replicas: int) -> Iterator[tuple[int, list[int]]]:
-        """The lists of each vector: the nearest, and of those hardly farther up to ``replicas`` in all that
-        are not closer to a list already chosen than to the vector."""
-        for i, lists, dist in self.nearest(self.lifted(vectors, self.radius), ratio):
-            chosen: list[int] = []
-            for v, d in zip(lists.tolist(), dist.tolist()):
-                if len(chosen) < replicas and all(np.linalg.norm(self.centroids[v] - self.centroids[c]) > d for c in chosen):
-                    chosen.append(v)
-            yield i, chosen
+        """The lists of each vector: the nearest, and those hardly farther up to ``replicas`` in all."""
+        for i, lists, _ in self.nearest(self.lifted(vectors, self.radius), ratio, 4 * replicas):
+            yield i, lists[:replicas].tolist()
 
 
 def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def search(
     list_rows: int = 1024,
     max_lists: int = 4096,
     replicas: int = 2,
-    boundary: float = 1.05,
+    boundary: float = 1.02,
     recall: float = 0.97,
     audited: int = 64,
 ) -> DataFrame:
@@ -158,7 +159,7 @@ def search(
         for batch in batches:
             x = matrix(batch.column(1))
             if len(x):
-                pairs = [(i, c) for i, found, _ in shared.value.nearest(shared.value.scaled(x), ratio) for c in found.tolist()]
+                pairs = [(i, c) for i, found, _ in shared.value.nearest(shared.value.scaled(x), ratio, 32) for c in found.tolist()]
                 at = pa.array([i for i, _ in pairs], pa.int64())
                 visited = pa.array([c for _, c in pairs], pa.int32())
                 yield pa.RecordBatch.from_arrays([visited, batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "vec"])

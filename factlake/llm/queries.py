@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factlake.llm import ann_search, language_id, license_scan, line_templates, packing, secret_scan, simhash, source_mix, warc
+from factlake.llm import ann_search, embedding_dups, language_id, license_scan, line_templates, packing, secret_scan, simhash, source_mix, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_simhash_dups": simhash.query,
+    "op3_embedding_dups": embedding_dups.query,
     "op5_language_id": language_id.query,
     "op8_secret_scan": secret_scan.query,
     "op9_source_mix": source_mix.query,

@@ -12,6 +12,7 @@ from factlake.plans.scratch import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
+GROUP = 1 << 8
 
 
 def text_quality(size: Column, chars: Column) -> Column:
@@ -49,6 +50,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), ratio: flo
     return table.select("source", "source_size", most.alias("target"))
 
 
+def _where(sums: DataFrame, budget: DataFrame) -> DataFrame:
+    """``(source, at, rest, ahead)``: of ``sums(source, at, n)`` the row of each source in which ``rest`` runs out, with
+    ``ahead``, what comes before it, from ``budget(source, rest, base)``.  A source has at most 256 rows."""
+    order = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    known = budget.select(F.col("source").alias("s"), "rest", "base")
+    found = before.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("ahead", F.col("base") + F.col("before"))
+    return found.filter("ahead < rest AND rest <= ahead + n").select("source", "at", "rest", "ahead")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -72,8 +83,8 @@ def mix(
     nothing.
 
     The sort within a source is done by ranges of keys: sizes are summed for each source and each of 65,536
-    ranges (combined on the map side), prefix sums over the ranges find the one in which the budget
-    ends, and only its rows, about one in 65,536 of the source, are sorted one by one.
+    ranges (combined on the map side), prefix sums over groups of 256 ranges and then over those of one group
+    find the range in which the budget ends, and only its rows, about one in 65,536 of the source, are sorted one by one.
     """
     size_, key_, bucket_, total_, target_, taken_, src_ = names = fresh(
         docs, "size", "_key", "_bucket", "source_size", "target", "taken", "_source"
@@ -90,10 +101,15 @@ def mix(
     budget = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, ratio, cap)
     words, each = F.round("target").cast("bigint"), F.greatest("source_size", F.lit(1))
     budget = budget.withColumn("epochs", F.floor(words / each)).withColumn("rest", words - F.col("epochs") * each)
-    ranges = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.withColumn("ahead", F.coalesce(F.sum("n").over(ranges), F.lit(0)))
-    last = ahead.join(budget.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    last = last.filter("ahead < rest AND rest <= ahead + n").select("source", "bucket", "ahead")
+    # the range in which the rest runs out: first among groups of ranges, then within the group found
+    group = F.floor(F.col("bucket") / GROUP).cast("int")
+    wide = sums.groupBy("source", group.alias("at")).agg(F.sum("n").alias("n"))
+    wide = _where(wide, budget.withColumn("base", F.lit(0).cast("bigint")))
+    own = wide.select(F.col("source").alias("s"), "at", "rest", F.col("ahead").alias("base"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (group == F.col("at"))
+    narrow = sums.join(own, same, "left_semi").select("source", F.col("bucket").alias("at"), "n")
+    last = _where(narrow, own.select(F.col("s").alias("source"), "rest", "base"))
+    last = last.select("source", F.col("at").alias("bucket"), "ahead")
     plan = budget.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.select(
         F.col("source").alias(src_), F.col("source_size").alias(total_), F.col("target").alias(target_),

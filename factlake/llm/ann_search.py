@@ -30,6 +30,11 @@ class Lists:
     entry: int
     radius: float
 
+    @property
+    def near(self) -> float:
+        """Distances are compared with this much added, so that a point on a centroid is no exception."""
+        return 0.05 * self.radius
+
     @cached_property
     def squares(self) -> np.ndarray:
         return (self.centroids**2).sum(axis=1)
@@ -61,9 +66,10 @@ class Lists:
 
             found, dist = beam_search(reach, len(todo), self.graph, self.entry, beam)
             dist = np.sqrt(dist)
-            wide = (found[:, -1] >= 0) & (dist[:, -1] <= ratio * dist[:, 0]) if beam < len(self.graph) else np.zeros(len(todo), bool)
+            limit = ratio * (dist[:, :1] + self.near) - self.near
+            wide = (found[:, -1] >= 0) & (dist[:, -1] <= limit[:, 0]) if beam < len(self.graph) else np.zeros(len(todo), bool)
             for i in np.flatnonzero(~wide):
-                keep = (found[i] >= 0) & (dist[i] <= ratio * dist[i, 0])
+                keep = (found[i] >= 0) & (dist[i] <= limit[i])
                 yield int(todo[i]), found[i][keep], dist[i][keep]
             todo, beam = todo[wide], 2 * beam
 
@@ -214,9 +220,8 @@ def _ratio(asked: DataFrame, postings: DataFrame, lists: Lists, k: int, audited:
     where = filed.agg(F.collect_set("list").alias("lists")).toArrow()
     dist = np.sqrt(squared(lists.scaled(q), lists.centroids))
     at = {i: n for n, i in enumerate(qid.tolist())}
-    need = sorted(
-        dist[at[i], found].min() / dist[at[i]].min() for i, found in zip(where["query_id"].to_pylist(), where["lists"].to_pylist())
-    )
+    pairs = [(dist[at[i]], found) for i, found in zip(where["query_id"].to_pylist(), where["lists"].to_pylist())]
+    need = sorted((d[found].min() + lists.near) / (d.min() + lists.near) for d, found in pairs)
     return float(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) * (1 + 1e-9) if need else 1.0
 
 

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 TIERS = (1024, 512, 256)
 END = 0
-_CACHED = 1 << 20
+_CACHED = 1 << 19
 #: A space that white space or the end follows: elsewhere a space begins a token of its own.
 _LOOSE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")

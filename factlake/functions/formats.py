@@ -305,7 +305,7 @@ def _padded(text: Column, flags: str, width: str) -> Column:
         return F.rpad(text, size, F.lit(" "))
     if "0" in flags:
         sign = F.regexp_extract(text, "^[+ -]?(?:0[xX])?", 0)
-        digits = F.substring(text, F.length(sign) + 1, F.lit(1 << 30))
+        digits = F.substring(text, F.length(sign) + 1, F.length(text))
         return F.concat(sign, F.lpad(digits, size - F.length(sign), F.lit("0")))
     return F.lpad(text, size, F.lit(" "))
 

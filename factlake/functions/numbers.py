@@ -86,7 +86,7 @@ def with_int_prefix(
     digits = c("number")
     value = _unsigned(c("digits"), base or 10)
     if base in (0, 16):
-        digits = F.when(hexed, F.substring(c("number"), 3, 1 << 30)).otherwise(digits)
+        digits = F.when(hexed, F.substring(c("number"), F.lit(3), F.length(c("number")))).otherwise(digits)
     if base == 0:
         value = (
             F.when(hexed, _unsigned(c("digits"), 16))
@@ -114,7 +114,7 @@ def with_int_prefix(
             {
                 "value": F.when(none, wide(0)).when(over, clamped).otherwise(exact).cast(kind),
                 "status": F.when(none, "no_number").when(over, "out_of_range").otherwise("ok"),
-                "rest": F.substring(s, F.length(c("taken")) + 1, F.lit(1 << 30)),
+                "rest": F.substring(s, F.length(c("taken")) + 1, F.length(s)),
             },
         ],
     )
@@ -130,7 +130,7 @@ def with_float_prefix(df: DataFrame, text: str, out: str) -> DataFrame:
     s, c = F.col(text), lambda name: F.col(f"{out}_{name}")
     word = "(?i)^(?:i(?:n(?:f(?:i(?:n(?:i(?:ty?)?)?)?)?)?)?|n(?:an?)?)"
     infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
-    exponent = F.substring(c("number"), F.length(c("plain")) + 1, F.lit(1 << 30))
+    exponent = F.substring(c("number"), F.length(c("plain")) + 1, F.length(c("number")))
     counted = F.when(c("exponent").rlike("[0-9]"), c("number")).otherwise(c("plain"))
     sign = F.when(c("lead").endswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     is_inf, is_nan = c("word").isin("inf", "infinity"), c("word") == "nan"
@@ -148,7 +148,7 @@ def with_float_prefix(df: DataFrame, text: str, out: str) -> DataFrame:
         out,
         [
             {"lead": F.regexp_extract(s, f"^{_BLANK}[+-]?", 0)},
-            {"body": F.substring(s, F.length(c("lead")) + 1, F.lit(1 << 30))},
+            {"body": F.substring(s, F.length(c("lead")) + 1, F.length(s))},
             {
                 "word": F.lower(F.regexp_extract(c("body"), word, 0)),
                 "number": F.regexp_extract(c("body"), r"^[0-9]*\.?[0-9]*(?:[eE][+-]?[0-9]*)?", 0),
@@ -166,7 +166,7 @@ def with_float_prefix(df: DataFrame, text: str, out: str) -> DataFrame:
                 .when(none, "no_number")
                 .when(lost, "out_of_range")
                 .otherwise("ok"),
-                "rest": F.substring(c("body"), used + 1, F.lit(1 << 30)),
+                "rest": F.substring(c("body"), used + 1, F.length(c("body"))),
             },
         ],
     )

@@ -43,7 +43,7 @@ def fill_bytes(dest: Column, ch: str, n: int) -> Column:
 
 
 def _from_byte(text: Column, n: int) -> Column:
-    return F.substring(F.encode(text, "utf-8"), F.lit(n + 1), F.lit(1 << 30))
+    return F.substring(F.encode(text, "utf-8"), F.lit(n + 1), F.octet_length(text))
 
 
 def clean_cstrings(df: DataFrame, col: str, n: int, stop: str, fill: str = "*") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.plans.skew import attach_group, global_row_number, salted_join
+from factlake.plans.skew import attach_group, global_row_number
 
 MAX_MASK_BITS = 63
 
@@ -25,7 +25,7 @@ def all_of_group(
     per_outer = F.max(grouped).alias("_any_group")
     with_outer = attach_group(df, outer, per_outer)
     keys = [*outer, group]
-    joined = salted_join(with_outer, per_group.filter(grouped).drop("_seen"), keys, "left")
+    joined = with_outer.join(per_group.filter(grouped).drop("_seen"), keys, "left")
     value = F.when(~F.coalesce("_any_group", F.lit(False)), F.col(flag)).otherwise(
         F.coalesce("_all", F.lit(False))
     )
@@ -154,7 +154,7 @@ def equivalence_classes(df: DataFrame, id: str, key_exprs: list[Column]) -> Data
     keyed = df.select(F.col(id), F.concat_ws("|", *parts).alias("_key"))
     reps = keyed.groupBy("_key").agg(F.min(id).alias("rep"))
     numbered = global_row_number(reps, ["rep"], "class_id")
-    return salted_join(keyed, numbered, ["_key"]).select(
+    return keyed.join(numbered, ["_key"]).select(
         id, "rep", (F.col("class_id") - 1).alias("class_id")
     )
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged
 from factlake.plans.scratch import Scratch
-from factlake.plans.skew import salted_join
 
 _LANES = 4
 _HEX_PER_LANE = 15
@@ -65,7 +64,7 @@ def structural_classes(
     for _ in range(max_rounds):
         child = current.df.select(F.col("id").alias("child"), F.col("colour").alias("_child"))
         mixed = _bag_digest(
-            salted_join(links, child, ["child"], "left"),
+            links.join(child, ["child"], "left"),
             ["id"],
             F.concat(_quoted("pos"), _quoted("_child")),
             "_deep",
@@ -83,7 +82,7 @@ def structural_classes(
     else:
         raise NotConverged(f"structural classes: still splitting after {max_rounds} rounds")
     reps = current.df.groupBy("colour").agg(F.min("id").alias("rep"))
-    return salted_join(current.df, reps, ["colour"]).select("id", "rep", "colour")
+    return current.df.join(reps, ["colour"]).select("id", "rep", "colour")
 
 
 def same_name_classes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def resolve_opaque(fields: DataFrame, nodes: DataFrame, opaque: DataFrame) -> Da
     named = nodes.join(opaque.select("id"), "id", "left_anti").filter(~F.col("generated"))
     target = named.groupBy("name").agg(F.min("id").alias("_def"))
     found = opaque.select(F.col("id").alias("child"), "name").join(target, "name").select("child", "_def")
-    joined = salted_join(fields, found, ["child"], "left")
+    joined = fields.join(found, ["child"], "left")
     rest = [c for c in fields.columns if c != "child"]
     return joined.select(*rest, F.coalesce("_def", "child").alias("child")).select(*fields.columns)
 
@@ -121,6 +120,6 @@ def canonicalise(
         kept = df.join(own, key, "left_semi")
     for col in ref_cols:
         mapping = classes.select(F.col("id").alias(col), F.col("rep").alias("_rep"))
-        joined = salted_join(kept, mapping, [col], "left")
+        joined = kept.join(mapping, [col], "left")
         kept = joined.withColumn(col, F.coalesce("_rep", col)).select(*df.columns)
     return kept.distinct()

@@ -18,7 +18,6 @@ from factlake.plans.skew import (
     attach_group,
     global_row_number,
     running_sum,
-    salted_join,
 )
 
 
@@ -227,8 +226,8 @@ def connected_components(
         if settled:
             break
         # neither star has more edges than it was given
-        wide = scratch.save(_large_star(stars.df, stars.rows), "l")
-        narrow = scratch.save(_small_star(wide.df, wide.rows), "s")
+        wide = scratch.save(_large_star(stars.df), "l")
+        narrow = scratch.save(_small_star(wide.df), "s")
         scratch.drop(stars.path)
         scratch.drop(wide.path)
         # a round that keeps the number of edges may be the last: only then it is worth a look
@@ -245,20 +244,20 @@ def connected_components(
     )
 
 
-def _large_star(pairs: DataFrame, rows: int) -> DataFrame:
+def _large_star(pairs: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node around it."""
     ends = pairs.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(
         pairs.select(F.col("low").alias("u"), F.col("high").alias("v"))
     )
     least = ends.groupBy(F.col("u").alias("low")).agg(F.min("v").alias("_m"))
-    joined = salted_join(pairs, least, ["low"], rows=rows)
+    joined = pairs.join(least, ["low"])
     return joined.select("high", F.least("low", "_m").alias("low")).distinct()
 
 
-def _small_star(pairs: DataFrame, rows: int) -> DataFrame:
+def _small_star(pairs: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     least = pairs.groupBy("high").agg(F.min("low").alias("_m"))
-    joined = salted_join(pairs, least, ["high"], rows=rows)
+    joined = pairs.join(least, ["high"])
     moved = joined.filter("low <> _m").select(F.col("low").alias("high"), F.col("_m").alias("low"))
     return moved.unionByName(least.select("high", F.col("_m").alias("low"))).distinct()
 

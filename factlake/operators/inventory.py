@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.plans.skew import bounded, salted_join
 
 # C input/output names and what each does, one line per category.  The third part is
 # the permission an operation needs or the origin an open call gives.
@@ -136,7 +135,7 @@ def flag_listing(
     is_call = F.col(kind).eqNullSafe(F.lit(call_kind)) & F.col(target).isNotNull()
     # rows that cannot match carry a null key, so one join serves every kind
     keyed = rows.withColumn("_target", F.when(is_call, F.col(target)))
-    marked = salted_join(keyed, known.withColumnRenamed(target, "_target"), ["_target"], "left")
+    marked = keyed.join(known.withColumnRenamed(target, "_target"), ["_target"], "left")
     line = F.coalesce("_target", kind).alias("line")
     extra = [F.col(position)] if position else []
     return marked.filter(F.col("_local").isNull()).select(line, *extra)
@@ -151,7 +150,7 @@ def normalise_name(name: Column) -> Column:
 def categorise(rows: DataFrame, col: str, dim: DataFrame) -> DataFrame:
     """Rows with the attributes of their normalised name; null when it is in no category."""
     keyed = rows.withColumn("_name", normalise_name(F.col(col)))
-    right = bounded(dim.withColumnRenamed("name", "_name"))
+    right = dim.withColumnRenamed("name", "_name")
     return keyed.join(right, "_name", "left").withColumnRenamed("_name", "name")
 
 
@@ -231,7 +230,7 @@ def classify_targets(df: DataFrame, col: str, dims: list[tuple[str, DataFrame]])
         ],
     )
     best = known.groupBy(col).agg(F.min("_rank").alias("_rank"))
-    joined = df.join(bounded(best), col, "left")
+    joined = df.join(best, col, "left")
     label = F.element_at(F.array(*[F.lit(c) for c, _ in dims]), F.col("_rank") + 1)
     return joined.select(
         *[F.col(c) for c in df.columns],

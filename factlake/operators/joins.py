@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.checks import CheckFailed
-from factlake.plans.skew import bounded, next_value, previous_value, salted_join
+from factlake.plans.skew import next_value, previous_value
 
 
 def resolve_refs(
@@ -28,8 +28,8 @@ def resolve_refs(
     candidates = defs.groupBy(*match_cols).agg(
         F.countDistinct(def_id).alias("_n"), F.min(def_id).alias("_only")
     )
-    chosen = bounded(hints.select(hint_key, F.col("target").alias("_hint")))
-    joined = salted_join(refs, candidates, match_cols, "left").join(chosen, hint_key, "left")
+    chosen = hints.select(hint_key, F.col("target").alias("_hint"))
+    joined = refs.join(candidates, match_cols, "left").join(chosen, hint_key, "left")
     count = F.coalesce("_n", F.lit(0))
     status = F.when(F.col("_hint").isNotNull(), "hint").when(count == 1, "unique")
     return joined.select(
@@ -110,7 +110,7 @@ def overlapping_members(
         # two different owners exist exactly when the smallest and the largest differ
         ends = kept.groupBy(*cell).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
         shared = ends.filter("_lo <> _hi").select(*cell)
-        return salted_join(kept, shared, cell, "left_semi").select(group, owner).distinct()
+        return kept.join(shared, cell, "left_semi").select(group, owner).distinct()
     # the size takes part in the join key, so a cell with many sizes does not multiply its rows
     keyed = kept.withColumn("_s", F.coalesce(F.col(size).cast("string"), F.lit("")))
     unsized = F.col("_s") == ""
@@ -121,7 +121,7 @@ def overlapping_members(
         F.min(F.when(unsized, F.col("_lo"))).alias("_un_lo"),
         F.max(F.when(unsized, F.col("_hi"))).alias("_un_hi"),
     )
-    rows = salted_join(keyed, by_size.join(per_cell, cell), [*cell, "_s"])
+    rows = keyed.join(by_size.join(per_cell, cell), [*cell, "_s"])
 
     def other(lo: str, hi: str) -> Column:
         """Whether someone else is among the owners whose least and largest these are."""
@@ -188,7 +188,7 @@ def lookup_with_default(
         raise ValueError(f"unknown policy {policy!r}")
     if policy == "conservative" and default is None:
         raise ValueError("the conservative policy needs a default")
-    small = bounded(dim.select(key, value))
+    small = dim.select(key, value)
     if policy == "noop":
         return df.join(small, key, "inner")
     joined = df.join(small, key, "left")

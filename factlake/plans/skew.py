@@ -1,15 +1,12 @@
 """Group-wise work that stays even when one group holds a large share of all rows.
 
-Aggregates combine on the map side and joins are split by AQE, but a window sends a whole group to
-one task.  The helpers here look for *hot* groups first, by counting a sample of the key columns.
-When there are none the plain Spark plan is used.  Hot groups are cut into slices by a range
-partitioning on (group, order); windows run inside slices and a carry table of one row per slice
-joins them up.  The sample settles only which plan is used: every plan works on all rows and gives
-the same result.
-
-Bounds: a group is hot only when the sample puts it at ``factlake.hotGroupRows`` rows or more *and* at
-1/1024 of all rows or more, so there are at most 1024 hot groups; slices number at most the shuffle
-partitions plus the hot groups.  Both tables are therefore safe to broadcast at any data size.
+Aggregates combine on the map side and joins are split by AQE (set
+``spark.sql.adaptive.forceOptimizeSkewedJoin`` where a split needs another shuffle), but a plain window
+sends a whole group to one task.  Here windows run inside slices: the rows are range partitioned on
+(group, order) and written once, as the borders of the ranges are sampled.  Only a group that crosses a
+border needs anything from another slice, and such a group is the first or the last of its slice: the
+carry table has at most two rows for each slice, whatever the sizes of table and groups, and is
+therefore safe to broadcast.
 """
 
 from __future__ import annotations
@@ -17,97 +14,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.plans.scratch import Scratch
 
-HOT_ROWS_CONF = "factlake.hotGroupRows"
-BROADCAST_ROWS_CONF = "factlake.broadcastRows"
-MAX_HOT = 1024
-SALTS = 64
-_SAMPLED_ROWS = 4096
-
-
-def _setting(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint only after counting that the table is small; otherwise Catalyst decides."""
-    limit = _setting(df.sparkSession, BROADCAST_ROWS_CONF, 100_000)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     """Null-safe equality on ``columns``."""
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
-def hot_floor(spark: SparkSession) -> int:
-    """Rows below which a group is never hot."""
-    return _setting(spark, HOT_ROWS_CONF, 1_000_000)
-
-
-def hot_groups(df: DataFrame, by: list[str], rows: int | None = None) -> DataFrame | None:
-    """The at most 1024 groups that are too large for one task, or None.
-
-    ``rows`` is an upper bound of the table's size, if known: a small table needs no look.
-    """
-    spark = df.sparkSession
-    floor = hot_floor(spark)
-    if rows is not None and rows < floor:
-        return None
-    # a group of ``floor`` rows leaves thousands of rows in the sample; tiny floors count exactly
-    fraction = min(1.0, _SAMPLED_ROWS / floor)
-    keys = df.select(*by)
-    keys = keys.sample(fraction, seed=17) if fraction < 1 else keys
-    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    top = sizes.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("total")).first()
-    if top["top"] is None:
-        return None
-    least = max(floor * fraction, top["total"] / MAX_HOT)
-    if top["top"] < least:
-        return None
-    hot = sizes.filter(F.col("_rows") >= least).select(*by).limit(MAX_HOT)
-    return spark.createDataFrame(hot.collect(), hot.schema)
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None
-) -> DataFrame:
-    """Equi join that spreads hot keys of ``left`` over many tasks.
-
-    ``right`` should have few rows for each key: rows of hot keys are repeated once per salt.
-    ``rows`` is as for ``hot_groups``.
-    """
-    hot = hot_groups(left, on, rows)
-    if hot is None:
-        return left.join(right, on, how)
-    marked = hot.withColumn("_salts", F.lit(SALTS))
-    # the salt depends on the row alone, so a retried task sends each row to the same place
-    # (rows with a null key match nothing and are spread as well)
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salts = F.when(no_key, SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts)
-    spread = (
-        left.join(F.broadcast(marked), on, "left")
-        .withColumn("_salt", salt.cast("int"))
-        .drop("_salts")
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    repeated = (
-        right.join(F.broadcast(marked), on, "left").withColumn("_salt", copies).drop("_salts")
-    )
-    return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
 def attach_group(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
-    """Add group aggregates to every row: map-side combined, then joined back with salting.
+    """Add group aggregates to every row: combined on the map side, then joined back.
 
     Rows whose key is null get null aggregates.
     """
-    return salted_join(df, df.groupBy(*by).agg(*aggregates), by, "left")
+    return df.join(df.groupBy(*by).agg(*aggregates), by, "left")
 
 
 @dataclass(frozen=True)
@@ -115,16 +38,17 @@ class Sliced:
     df: DataFrame
     by: list[str]
     order: list[str]
-    hot: bool
 
     @property
     def window(self):
-        keys = [*self.by, "_slice"] if self.hot else self.by
-        return Window.partitionBy(*keys).orderBy(*self.order)
+        return Window.partitionBy(*self.by, "_slice").orderBy(*self.order)
 
     def summary(self, *aggregates: Column) -> DataFrame:
-        """One row for each slice of a hot group, in slice order by ``_slice``."""
-        rows = self.df.filter(F.col("_slice") >= 0)
+        """One row for the first and the last group of each slice, in slice order by ``_slice``."""
+        group = F.struct(*self.by)
+        ends = self.df.groupBy("_slice").agg(F.min(group).alias("_first"), F.max(group).alias("_last"))
+        at_end = group.eqNullSafe(F.col("_first")) | group.eqNullSafe(F.col("_last"))
+        rows = self.df.join(F.broadcast(ends), "_slice").filter(at_end)
         return rows.groupBy(*self.by, "_slice").agg(*aggregates)
 
     def across(self):
@@ -141,22 +65,9 @@ class Sliced:
 
 
 def slice_groups(df: DataFrame, by: list[str], order: list[str]) -> Sliced:
-    """Cut hot groups into contiguous slices; other groups stay whole (slice -1)."""
-    hot = hot_groups(df, by)
-    if hot is None:
-        return Sliced(df, by, order, False)
-    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), same(df, hot, by), "left")
-    flagged = flagged.select(*[df[c] for c in df.columns], "_hot")
-    ranged = (
-        flagged.filter("_hot")
-        .drop("_hot")
-        .repartitionByRange(*by, *order)
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    # range bounds are sampled: written once so that every later read sees the same slices
-    cut = Scratch(df.sparkSession, "slices").save(ranged, "h").df
-    cold = flagged.filter(F.col("_hot").isNull()).drop("_hot").withColumn("_slice", F.lit(-1))
-    return Sliced(cold.unionByName(cut), by, order, True)
+    """Cut the table into ranges of (group, order); ``_slice`` numbers them."""
+    ranged = df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id())
+    return Sliced(Scratch(df.sparkSession, "slices").save(ranged, "h").df, by, order)
 
 
 def running_sum(
@@ -166,8 +77,6 @@ def running_sum(
     parts = slice_groups(df, by, order)
     before = parts.window.rowsBetween(Window.unboundedPreceding, -1)
     local = parts.df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    if not parts.hot:
-        return local
     earlier = parts.across().rowsBetween(Window.unboundedPreceding, -1)
     table = parts.summary(F.sum(value).alias("_v")).withColumn("_c", F.sum("_v").over(earlier))
     joined = parts.carry(local, table, "_c")
@@ -181,8 +90,6 @@ def previous_value(
     parts = slice_groups(df, by, order)
     before = parts.window.rowsBetween(Window.unboundedPreceding, -1)
     local = parts.df.withColumn(out, F.last(value, ignorenulls=True).over(before))
-    if not parts.hot:
-        return local
     latest = F.max(F.when(value.isNotNull(), F.struct(*order, value.alias("_v"))))
     earlier = parts.across().rowsBetween(Window.unboundedPreceding, -1)
     table = parts.summary(latest.alias("_m")).withColumn(
@@ -196,8 +103,6 @@ def next_value(df: DataFrame, by: list[str], order: list[str], value: Column, ou
     """``value`` of the following row of the group, null for the last.  ``value`` is never null."""
     parts = slice_groups(df, by, order)
     local = parts.df.withColumn(out, F.lead(value).over(parts.window))
-    if not parts.hot:
-        return local
     first = F.min(F.struct(*order, value.alias("_v")))
     table = parts.summary(first.alias("_m")).withColumn(
         "_c", F.lead("_m").over(parts.across())["_v"]

@@ -15,10 +15,8 @@ def spark():
 
 @pytest.fixture
 def hot(spark):
-    """Groups of 5 rows count as hot, so the sliced and salted plans run on small data."""
-    spark.conf.set("factlake.hotGroupRows", "5")
+    """Groups are cut into several slices on small data."""
     # AQE would merge the tiny slices of a test into one
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset("factlake.hotGroupRows")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -1,4 +1,4 @@
-"""Sliced and salted plans give the same rows as plain windows and joins."""
+"""Sliced windows give the same rows as plain ones."""
 
 import random
 
@@ -29,7 +29,6 @@ def _check(got, log, expected):
 
 def test_slices_are_used(log, hot):
     parts = skew.slice_groups(log, ["k"], ["t", "id"])
-    assert parts.hot
     assert parts.df.filter("k = 0").select("_slice").distinct().count() > 1
     assert parts.df.count() == log.count()
 
@@ -51,15 +50,6 @@ def test_next_value(log, hot):
     _check(got, log, F.lead("id").over(_window()))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(log, hot, spark, how):
-    right = table(spark, [(k, k * 10) for k in range(0, 12)], "k bigint, w bigint")
-    got = skew.salted_join(log, right, ["k"], how)
-    want = log.join(right, ["k"], how)
-    assert got.columns == want.columns
-    assert rows(got) == rows(want)
-
-
 def test_attach_group(log, hot):
     got = skew.attach_group(log, ["k"], F.count(F.lit(1)).alias("out"))
     want = F.when(F.col("k").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("k")))
@@ -74,17 +64,6 @@ def test_global_row_number(log):
     assert rows(got, "out") == [(i,) for i in range(1, len(want) + 1)]
 
 
-def test_broadcast_only_when_small(spark):
-    small, large = spark.range(10), spark.range(50)
-    spark.conf.set(skew.BROADCAST_ROWS_CONF, "20")
-    try:
-        plan = lambda df: spark.range(5).join(skew.bounded(df), "id")._jdf.queryExecution().analyzed().toString()
-        assert "broadcast" in plan(small)
-        assert "broadcast" not in plan(large)
-    finally:
-        spark.conf.unset(skew.BROADCAST_ROWS_CONF)
-
-
 def test_no_cluster_without_checkpoint_folder(spark, monkeypatch):
     from factlake.plans import scratch
 

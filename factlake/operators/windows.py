@@ -183,7 +183,7 @@ def first_wins_propagation(
             better.alias("changed"),
         )
 
-    return relax(start, step, merge, name="first-wins", max_rounds=max_rounds)
+    return relax(start, step, merge, keys=keys, name="first-wins", max_rounds=max_rounds)
 
 
 def dead_writes(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.plans.scratch import Scratch, Table
+from factlake.plans.scratch import Scratch
 
 DEFAULT_MAX_ROUNDS = 10_000
 _COMPACT_AFTER = 12
@@ -35,9 +35,10 @@ def grow(
 ) -> DataFrame:
     """Least set containing ``start`` and closed under ``step``.
 
-    Each round joins only the rows that were new in the round before, drops what is already known
-    with an anti join and appends the rest to the state as a further Parquet folder: known rows are
-    never rewritten, except for a merge every few rounds that bounds the number of folders.
+    Each round joins only the rows that were new in the round before.  What it finds is written, the
+    known rows among it are looked up by a semi join that keeps the state where it is while the finds
+    are small enough to broadcast, and the rest is appended as a further Parquet folder: known rows are
+    neither rewritten nor shuffled, except for a merge every few rounds that bounds the number of folders.
     ``hops`` stops after that many steps on purpose; ``max_rounds`` raises.
     """
     scratch = Scratch(start.sparkSession, name)
@@ -48,14 +49,20 @@ def grow(
     while delta.rows and (hops is None or done < hops):
         if done >= max_rounds:
             raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")
-        found = step(delta.df).select(*keys).distinct()
-        known = scratch.read(parts, start)
-        delta = scratch.save(found.join(known, keys, "left_anti"), "d")
+        found = scratch.save(step(delta.df).select(*keys).distinct(), "f")
         done += 1
+        if not found.rows:
+            scratch.drop(found.path)
+            break
+        known = scratch.read(parts, start).join(found.df, keys, "left_semi")
+        delta = scratch.save(found.df.join(known, keys, "left_anti"), "d")
+        scratch.drop(found.path)
         if delta.rows:
             parts.append(delta.path)
         if len(parts) > _COMPACT_AFTER:
             merged = scratch.save(scratch.read(parts[:-1], start), "m")
+            for path in parts[:-1]:
+                scratch.drop(path)
             parts = [merged.path, parts[-1]]
     return scratch.read(parts, start)
 
@@ -91,7 +98,7 @@ def spread(
             "id", *[v.alias(c) for c, v in best.items()], (~same).alias("changed")
         )
 
-    return relax(start, step, merge, name=name, max_rounds=max_rounds)
+    return relax(start, step, merge, keys=["id"], name=name, max_rounds=max_rounds)
 
 
 def relax(
@@ -99,23 +106,48 @@ def relax(
     step: Callable[[DataFrame], DataFrame],
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     *,
+    keys: list[str],
     name: str,
     max_rounds: int = DEFAULT_MAX_ROUNDS,
 ) -> DataFrame:
     """Iterate a keyed state whose rows can be improved.
 
-    ``step(changed)`` proposes rows from the rows that changed last; ``merge(state, proposed)``
-    returns the full new state with a boolean ``changed`` column.  Ends when nothing changes.
+    ``step(changed)`` proposes at most one row for each key from the rows that changed last;
+    ``merge(rows, proposed)`` gets the state's rows of the proposed keys and returns them, and new ones,
+    with a boolean ``changed`` column.  Ends when nothing changes.  A round appends the changed rows as a
+    further version: the state is neither rewritten nor shuffled while the proposals are small
+    enough to broadcast.  Every few rounds the versions, but not the first table, become one.
     """
     scratch = Scratch(state.sparkSession, name)
-    current = scratch.save(state, "s")
-    changed = current.df
-    for _ in range(max_rounds):
-        path = scratch.save(merge(current.df, step(changed)), "s").path
-        following = scratch.read([path], current.df.withColumn("changed", F.lit(True)))
-        scratch.drop(current.path)
-        current = Table(following.drop("changed"), path, current.rows)
-        changed = following.filter("changed").drop("changed")
-        if changed.isEmpty():
-            return current.df
+    rest = [c for c in state.columns if c not in keys]
+
+    def latest(paths: list[str], among: DataFrame | None = None) -> DataFrame:
+        rows = scratch.read(paths, like)
+        if among is not None:
+            rows = rows.join(among.select(*keys), keys, "left_semi")
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_round").alias("_v"), F.max("_round").alias("_round"))
+        return newest.select(*keys, *[F.col("_v")[c].alias(c) for c in rest], "_round")
+
+    first = scratch.save(state.withColumn("_round", F.lit(0)), "s")
+    like, parts, changed = first.df, [first.path], first.df.drop("_round")
+    for number in range(1, max_rounds + 1):
+        offers = scratch.save(step(changed), "o")
+        if offers.rows:
+            merged = merge(latest(parts, offers.df).drop("_round"), offers.df).filter("changed")
+            better = scratch.save(merged.select(*state.columns, F.lit(number).alias("_round")), "v")
+        scratch.drop(offers.path)
+        if not offers.rows or not better.rows:
+            if len(parts) == 1:
+                return first.df.drop("_round")
+            final = scratch.save(latest(parts).drop("_round"), "r").df
+            for path in parts:
+                scratch.drop(path)
+            return final
+        parts.append(better.path)
+        changed = better.df.drop("_round")
+        if len(parts) > _COMPACT_AFTER:
+            versions = scratch.save(latest(parts[1:-1]), "m")
+            for path in parts[1:-1]:
+                scratch.drop(path)
+            parts = [parts[0], versions.path, parts[-1]]
     raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")

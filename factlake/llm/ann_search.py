@@ -79,9 +79,11 @@ class Lists:
             yield i, lists[:replicas].tolist()
 
 
-def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best of ``v`` for each row of ``q``, other ids only: query ids, vector ids, inner products.
 
+    With ``least`` only scores of at least that of their query.
+
     A product of matrices picks all that could be among them, ties included; their scores are then summed
     component by component, alike for equal vectors wherever they stand.
     """
@@ -101,6 +103,8 @@ def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int)
         rows, cols, score = rows[order], cols[order], score[order]
         first = np.searchsorted(rows, rows)
         top = np.arange(len(rows)) - first < k
+        if least is not None:
+            top &= score >= least[begin + rows]
         out.append((ids[rows[top]], vid[cols[top]], score[top]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
@@ -118,6 +122,7 @@ def search(
     boundary: float = 1.02,
     recall: float = 0.97,
     audited: int = 64,
+    first_lists: int = 3,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found for each row of ``queries``.
 
@@ -129,7 +134,9 @@ def search(
     The centroids are fitted on a sample of at most 64 vectors a list; every vector is then filed under its
     nearest list and, at the boundary, under up to ``replicas`` in all.  A query visits the lists within a
     ratio of its nearest one's distance.  The ratio is measured: ``audited`` queries are compared with all
-    vectors by brute force, and it is the least that finds the share ``recall`` of their neighbours.  Lists
+    vectors by brute force, and it is the least that finds the share ``recall`` of their neighbours.  The
+    nearest ``first_lists`` are visited first; the others pass on only what is no worse than the ``k``-th
+    found there, which loses nothing.  Lists
     and the queries that visit them are cut in blocks of 4096, so a list of very many equal vectors
     is spread over tasks; each pair of blocks passes on the best ``k`` of each query only.
     """
@@ -165,34 +172,52 @@ def search(
         for batch in batches:
             x = matrix(batch.column(1))
             if len(x):
-                pairs = [(i, c) for i, found, _ in shared.value.nearest(shared.value.scaled(x), ratio, 32) for c in found.tolist()]
-                at = pa.array([i for i, _ in pairs], pa.int64())
-                visited = pa.array([c for _, c in pairs], pa.int32())
-                yield pa.RecordBatch.from_arrays([visited, batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "vec"])
-
-    visits = scratch.save(asked.select("id", "vec").mapInArrow(visit, "list int, id bigint, vec array<double>"), "a").df
+                found = shared.value.nearest(shared.value.scaled(x), ratio, 32)
+                pairs = [(i, c, n) for i, lists, _ in found for n, c in enumerate(lists.tolist())]
+                at = pa.array([i for i, *_ in pairs], pa.int64())
+                visited, turn = (pa.array([p[n] for p in pairs], pa.int32()) for n in (1, 2))
+                cols = [visited, turn, batch.column(0).take(at), batch.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(cols, ["list", "turn", "id", "vec"])
+
+    visits = asked.select("id", "vec").mapInArrow(visit, "list int, turn int, id bigint, vec array<double>")
+    visits = scratch.save(visits, "a").df
+    nothing = F.lit(float("-inf"))
+    head = _visited(visits.filter(F.col("turn") < first_lists).withColumn("least", nothing), postings, k)
+    head = scratch.save(_top(head, k), "h").df
+    # a query that has k neighbours needs no worse one from the lists that are farther
+    floor = head.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    tail = visits.filter(F.col("turn") >= first_lists).join(floor, "id", "left").withColumn("least", F.coalesce("least", nothing))
+    return _top(head.drop("rank").unionByName(_visited(tail, postings, k)), k)
+
+
+def _visited(visits: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best ``k`` of each list for each of its ``visits(list, id, vec, least)``."""
     # one row for each list: at most max_lists
-    blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / _BLOCK).alias("vn"))
-    blocks = blocks.join(visits.groupBy("list").agg(F.ceil(F.count("*") / _BLOCK).alias("qn")), "list")
-    blocks = F.broadcast(scratch.save(blocks, "b").df)
+    sizes = [side.groupBy("list").agg(F.ceil(F.count("*") / _BLOCK).alias(n)) for side, n in ((postings, "vn"), (visits, "qn"))]
+    blocks = F.broadcast(Scratch(visits.sparkSession, "ann").save(sizes[0].join(sizes[1], "list"), "b").df)
+    key = ["list", "vb", "qb"]
 
     def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         cut = side.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)))
-        return cut.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1))).select("list", "vb", "qb", "id", "vec")
+        cut = cut.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
+        return cut.select(*key, *[c for c in side.columns if c not in ("list", "turn")])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = best(
-            left["id"].to_numpy(), matrix(left["vec"].combine_chunks()), right["id"].to_numpy(), matrix(right["vec"].combine_chunks()), k
-        )
+        q, v = (matrix(side["vec"].combine_chunks()) for side in (left, right))
+        found = best(left["id"].to_numpy(), q, right["id"].to_numpy(), v, k, left["least"].to_numpy())
         return pa.table([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
-    key = ["list", "vb", "qb"]
     left = dealt(visits, "qb", "qn", "vb", "vn").groupBy(*key)
     right = dealt(postings, "vb", "vn", "qb", "qn").groupBy(*key)
-    found = left.cogroup(right).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    return left.cogroup(right).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` best different ids of each query."""
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def usable_is_empty(table: DataFrame, vec_col: str) -> bool:

@@ -66,7 +66,8 @@ def structural_classes(
         mixed = _bag_digest(
             links.join(child, ["child"], "left"),
             ["id"],
-            F.concat(_quoted("pos"), _quoted("_child")),
+            # a child without record counts by its id, so different unknown children stay apart
+            F.concat(_quoted("pos"), _quoted("_child"), _quoted(F.when(F.col("_child").isNull(), F.col("child")))),
             "_deep",
         )
         finer = current.df.join(mixed, "id", "left").select(
@@ -93,14 +94,24 @@ def same_name_classes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _definitions(nodes: DataFrame, opaque: DataFrame) -> DataFrame:
+    named = nodes.join(opaque.select("id"), "id", "left_anti").filter(~F.col("generated"))
+    return named.groupBy("name").agg(F.min("id").alias("target"), F.countDistinct("id").alias("n_definitions"))
+
+
+def ambiguous_definitions(nodes: DataFrame, opaque: DataFrame) -> DataFrame:
+    """``(name, target, n_definitions)`` of opaque names with several definitions; ``target`` is the one taken."""
+    asked = opaque.select("name").distinct()
+    return _definitions(nodes, opaque).filter("n_definitions > 1").join(asked, "name", "left_semi")
+
+
 def resolve_opaque(fields: DataFrame, nodes: DataFrame, opaque: DataFrame) -> DataFrame:
     """Fields whose child is an opaque declaration point to the record of the same name.
 
     ``opaque(id, name)`` lists declarations without a body.  A name defined more than once takes
-    the smallest id; a name without definition stays as it is.
+    the smallest id, and ``ambiguous_definitions`` lists it; a name without definition stays as it is.
     """
-    named = nodes.join(opaque.select("id"), "id", "left_anti").filter(~F.col("generated"))
-    target = named.groupBy("name").agg(F.min("id").alias("_def"))
+    target = _definitions(nodes, opaque).select("name", F.col("target").alias("_def"))
     found = opaque.select(F.col("id").alias("child"), "name").join(target, "name").select("child", "_def")
     joined = fields.join(found, ["child"], "left")
     rest = [c for c in fields.columns if c != "child"]

@@ -446,7 +446,9 @@ def expand_dependencies(
     ``deps(parent, pos, child)`` lists children in order, ``roots(node)`` are the starts and
     ``is_leaf`` is a predicate over column ``node``.  A leaf reached twice appears twice.  The path
     is the list of positions from the root.  A cycle is reported once ``max_depth`` is passed.
+    Where the predicate is null, as for a null child, the node is a leaf.
     """
+    is_leaf = F.coalesce(is_leaf, F.lit(True))
     scratch = Scratch(deps.sparkSession, "expand")
     arcs = scratch.save(
         deps.select(F.col("parent").alias("node"), "pos", "child").distinct(), "e"

@@ -178,8 +178,8 @@ def category_inventory(rows: DataFrame, col: str, dim: DataFrame) -> DataFrame:
 
 
 def exclude_prefixes(df: DataFrame, col: str, prefixes: list[str]) -> DataFrame:
-    """Drop rows whose ``col`` starts with any of the prefixes."""
-    starts = [F.col(col).startswith(p) for p in prefixes]
+    """Drop rows whose ``col`` starts with any of the prefixes; null does not."""
+    starts = [F.coalesce(F.col(col).startswith(p), F.lit(False)) for p in prefixes]
     return df.filter(~reduce(lambda a, b: a | b, starts)) if starts else df
 
 

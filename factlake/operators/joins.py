@@ -9,6 +9,13 @@ from factlake.operators.checks import CheckFailed
 from factlake.plans.skew import next_value, previous_value
 
 
+def _one_each(table: DataFrame, key: str, value: str) -> DataFrame:
+    """``table(key, value)``; reading the value of a key that has several rows raises."""
+    grouped = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias(value))
+    message = F.concat(F.lit(f"several rows for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return grouped.select(key, F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col(value)).alias(value))
+
+
 def resolve_refs(
     refs: DataFrame,
     defs: DataFrame,
@@ -21,14 +28,14 @@ def resolve_refs(
 ) -> DataFrame:
     """``(ref, match columns, target, status)`` — each reference with what it resolves to.
 
-    A hint ``(hint_key, target)`` wins; else exactly one definition with equal ``match_cols``;
+    A hint ``(hint_key, target)`` wins, and two for one key are an error; else exactly one definition with equal ``match_cols``;
     otherwise the status is ``ambiguous`` or ``missing``.  Leaving a column out of ``match_cols``
     ignores it.  Candidates are counted, never paired, so a popular name costs one row.
     """
     candidates = defs.groupBy(*match_cols).agg(
         F.countDistinct(def_id).alias("_n"), F.min(def_id).alias("_only")
     )
-    chosen = hints.select(hint_key, F.col("target").alias("_hint"))
+    chosen = _one_each(hints, hint_key, "target").withColumnRenamed("target", "_hint")
     joined = refs.join(candidates, match_cols, "left").join(chosen, hint_key, "left")
     count = F.coalesce("_n", F.lit(0))
     status = F.when(F.col("_hint").isNotNull(), "hint").when(count == 1, "unique")
@@ -179,7 +186,7 @@ def zip_positional(
 def lookup_with_default(
     df: DataFrame, dim: DataFrame, *, key: str, value: str, policy: str = "null", default=None
 ) -> DataFrame:
-    """``df`` with ``value`` from ``dim`` (one row for each key).
+    """``df`` with ``value`` from ``dim``, which has one row for each key; more are an error.
 
     Unknown keys: ``conservative`` takes ``default``, ``null`` stays null, ``noop`` drops the row
     because nothing follows from it.
@@ -188,7 +195,7 @@ def lookup_with_default(
         raise ValueError(f"unknown policy {policy!r}")
     if policy == "conservative" and default is None:
         raise ValueError("the conservative policy needs a default")
-    small = dim.select(key, value)
+    small = _one_each(dim, key, value)
     if policy == "noop":
         return df.join(small, key, "inner")
     joined = df.join(small, key, "left")

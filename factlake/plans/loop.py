@@ -35,7 +35,7 @@ def grow(
 ) -> DataFrame:
     """Least set containing ``start`` and closed under ``step``.
 
-    Each round joins only the rows that were new in the round before.  What it finds is written, the
+    Each round takes two steps from the rows that were new in the round before.  What it finds is written, the
     known rows among it are looked up by a semi join that keeps the state where it is while the finds
     are small enough to broadcast, and the rest is appended as a further Parquet folder: known rows are
     neither rewritten nor shuffled, except for a merge every few rounds that bounds the number of folders.
@@ -49,8 +49,12 @@ def grow(
     while delta.rows and (hops is None or done < hops):
         if done >= max_rounds:
             raise NotConverged(f"{name}: no fixpoint after {max_rounds} rounds")
-        found = scratch.save(step(delta.df).select(*keys).distinct(), "f")
+        found = step(delta.df).select(*keys).distinct()
         done += 1
+        if hops is None:
+            # two steps in one plan, at every size: half the rounds and half the tables
+            found = found.unionByName(step(found).select(*keys)).distinct()
+        found = scratch.save(found, "f")
         if not found.rows:
             scratch.drop(found.path)
             break

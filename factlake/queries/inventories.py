@@ -68,6 +68,16 @@ def p5(t):
     return op.distinct_tokens(t.documents.select("text"), "text", "[A-Za-z]+(?:::[A-Za-z]+)*")
 
 
+@query(
+    "p5_paths",
+    r"""SELECT DISTINCT regexp_replace(token, '\s*::\s*', '::', 'g') AS token FROM (SELECT unnest(regexp_extract_all(
+         replace(text, '. ', ' :: '), '[A-Za-z]+(?:\s*::\s*[A-Za-z]+)*')) AS token FROM documents)""",
+)
+def p5_paths(t):
+    paths = t.documents.select(F.replace("text", F.lit(". "), F.lit(" :: ")).alias("text"))
+    return op.distinct_tokens(paths, "text", r"[A-Za-z]+(?:\s*::\s*[A-Za-z]+)*")
+
+
 _CALLS = """SELECT event_id, event_type AS kind,
     CASE WHEN event_type = 'click' THEN 'u' || user_id END AS target FROM events"""
 

@@ -32,6 +32,29 @@ def j1(t):
     )
 
 
+@query(
+    "j1_two_columns",
+    """WITH s AS (SELECT s_suppkey, s_nationkey AS k, s_acctbal >= 5000 AS rich FROM supplier),
+        cand AS (SELECT k, rich, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS one FROM s GROUP BY k, rich),
+        hint AS (SELECT k, min(s_suppkey) AS h FROM s JOIN nation ON k = n_nationkey WHERE n_regionkey = 0 GROUP BY k)
+        SELECT c_custkey, c_nationkey::BIGINT AS nation, c_acctbal >= 5000 AS rich,
+          coalesce(h, CASE WHEN n = 1 THEN one END) AS target,
+          CASE WHEN h IS NOT NULL THEN 'hint' WHEN n = 1 THEN 'unique'
+               WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status
+        FROM customer c LEFT JOIN cand ON cand.k = c_nationkey AND cand.rich = (c_acctbal >= 5000)
+        LEFT JOIN hint ON hint.k = c_nationkey""",
+)
+def j1_two_columns(t):
+    nation = lambda c: F.col(c).cast("bigint").alias("nation")
+    defs = t.supplier.select("s_suppkey", nation("s_nationkey"), (F.col("s_acctbal") >= 5000).alias("rich"))
+    africa = t.nation.filter("n_regionkey = 0").select(nation("n_nationkey"))
+    hints = defs.join(africa, "nation").groupBy("nation").agg(F.min("s_suppkey").alias("target"))
+    refs = t.customer.select("c_custkey", nation("c_nationkey"), (F.col("c_acctbal") >= 5000).alias("rich"))
+    return op.resolve_refs(
+        refs, defs, hints, ref_id="c_custkey", def_id="s_suppkey", match_cols=["nation", "rich"], hint_key="nation"
+    )
+
+
 @query(
     "j3_retain_known",
     f"{WITH_LINES} SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM nodes WHERE status = 'F')",

@@ -147,6 +147,30 @@ def t4(t):
     return strings.escape_column(t.documents.select("doc_id", "text"), "text")
 
 
+_WITH_NUL = "(SELECT doc_id, replace(text, '. ', chr(0)) AS text, split_part(text, '. ', 1) AS c FROM documents)"
+
+
+def _with_nul(t):
+    return t.documents.select("doc_id", F.replace("text", F.lit(". "), F.lit("\0")).alias("text"))
+
+
+@query(
+    "t3_nul",
+    f"""SELECT doc_id, strlen(c) AS c_len, substr(hex(encode(text)), 1, 40) AS head, strlen(regexp_extract(c, '^[^,]*')) AS free_len,
+         md5(repeat('2A', least(20, strlen(text))::BIGINT) || substr(hex(encode(text)), 41)) AS masked FROM {_WITH_NUL}""",
+)
+def t3_nul(t):
+    found = strings.clean_cstrings(_with_nul(t), "text", 20, ",")
+    return found.select(
+        "doc_id", "c_len", F.hex("head").alias("head"), "free_len", F.md5(F.hex("masked").cast("binary")).alias("masked")
+    )
+
+
+@query("t4_nul", _ESCAPED.replace("FROM documents", "FROM (SELECT doc_id, replace(text, '. ', '') AS text FROM documents)"))
+def t4_nul(t):
+    return strings.escape_column(_with_nul(t), "text")
+
+
 @query("t4_unescape_text", "SELECT doc_id, text FROM documents")
 def t4_back(t):
     escaped = strings.escape_column(t.documents.select("doc_id", "text"), "text")

@@ -139,6 +139,14 @@ def n3(t):
         SELECT scope, var::BIGINT AS var, 2::BIGINT AS grp, min(t) AS t FROM hit GROUP BY scope, var""",
 )
 def n4(t):
+    copies, users = _moves(t)
+    defs = users.select("scope", F.lit(2).cast("bigint").alias("var"))
+    blocked = users.select("scope", F.lit(4).cast("bigint").alias("var"))
+    return op.first_wins_propagation(defs, copies, blocked)
+
+
+def _moves(t):
+    """Copies between kinds of events that follow each other, and the users."""
     log = t.events.select("user_id", "ts", "event_id", "event_type")
     moves = next_value(log, ["user_id"], ["ts", "event_id"], F.col("event_type"), "next_type")
     kinds = ["view", "click", "signup", "purchase", "error"]
@@ -149,8 +157,23 @@ def n4(t):
         number("next_type").alias("dst"),
         number("event_type").alias("src"),
     )
-    users = t.events.select(F.col("user_id").alias("scope")).distinct()
-    defs = users.select("scope", F.lit(2).cast("bigint").alias("var"))
+    return copies, t.events.select(F.col("user_id").alias("scope")).distinct()
+
+
+@query(
+    "n4_two_groups",
+    # clicks and signups are groups of their own: the first of them that a purchase follows gives it its group
+    """WITH log AS (SELECT user_id, event_id, event_type, lead(event_type) OVER (PARTITION BY user_id
+             ORDER BY ts, event_id) AS nxt FROM events),
+        won AS (SELECT user_id AS scope, arg_min(CASE event_type WHEN 'click' THEN 1 ELSE 2 END, event_id) AS grp,
+                min(event_id) AS t FROM log WHERE nxt = 'purchase' AND event_type IN ('click', 'signup') GROUP BY user_id)
+        SELECT DISTINCT user_id AS scope, v::BIGINT AS var, v::BIGINT AS grp, -1::BIGINT AS t
+        FROM events, (SELECT unnest([1, 2]) AS v)
+        UNION ALL SELECT scope, 3::BIGINT, grp::BIGINT, t FROM won""",
+)
+def n4_two_groups(t):
+    copies, users = _moves(t)
+    defs = users.select("scope", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("var"))
     blocked = users.select("scope", F.lit(4).cast("bigint").alias("var"))
     return op.first_wins_propagation(defs, copies, blocked)
 

@@ -177,34 +177,49 @@ def t4_back(t):
     return escaped.withColumn("text", strings.unescape_text(F.col("text")))
 
 
-def _types_sql(types):
-    rows = [f"('{c}{n}', '{t}')" for c, lengths in types.items() for n, t in lengths.items()]
-    return f"types(k, value_type) AS (VALUES {', '.join(rows)})"
-
-
-def _case_sql(folds):
-    return "CASE raw " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in folds.items()) + " ELSE raw END"
+# Fixed values, written out apart from the operator's own: value type by conversion and length, other spellings, grammar.
+_ALL_LENGTHS = "(SELECT unnest(['', 'hh', 'h', 'l', 'll', 'j', 'z', 't', 'L']) AS l)"
+_SIGNED_SQL = "(VALUES ('', 'i32'), ('hh', 'i8'), ('h', 'i16'), ('l', 'i64'), ('ll', 'i64'), ('j', 'i64'), ('z', 'i64'), ('t', 'u64')) v(l, t)"
+_UNSIGNED_SQL = "(VALUES ('', 'u32'), ('hh', 'u8'), ('h', 'u16'), ('l', 'u64'), ('ll', 'u64'), ('j', 'u64'), ('z', 'u64'), ('t', 'u64')) v(l, t)"
+_PRINTF_SQL = f"""types(k, value_type) AS (
+    SELECT 'd' || l, t FROM {_SIGNED_SQL}
+    UNION ALL SELECT c || l, t FROM (SELECT unnest(['o', 'u', 'x', 'X']) AS c), {_UNSIGNED_SQL}
+    UNION ALL SELECT c || l, t FROM (SELECT unnest(['f', 'e']) AS c), (VALUES ('', 'f64'), ('l', 'f64'), ('L', 'f128')) v(l, t)
+    UNION ALL SELECT c || l, 'f64' FROM (SELECT unnest(['g', 'a']) AS c), (SELECT unnest(['', 'l']) AS l)
+    UNION ALL SELECT 'c' || l, 'char' FROM {_ALL_LENGTHS}
+    UNION ALL SELECT 's' || l, 'str' FROM (SELECT unnest(['', 'l']) AS l)
+    UNION ALL SELECT 'p' || l, 'usize' FROM {_ALL_LENGTHS})"""
+_SCANF_SQL = f"""types(k, value_type) AS (
+    SELECT c || l, t FROM (SELECT unnest(['d', 'i']) AS c), {_SIGNED_SQL}
+    UNION ALL SELECT c || l, t FROM (SELECT unnest(['o', 'u', 'x']) AS c), {_UNSIGNED_SQL}
+    UNION ALL SELECT 'g' || l, t FROM (VALUES ('', 'f32'), ('l', 'f64'), ('L', 'f128')) v(l, t)
+    UNION ALL SELECT c || l, 'str' FROM (SELECT unnest(['s', '[']) AS c), {_ALL_LENGTHS}
+    UNION ALL SELECT 'c', 'i8')"""
+_PRINTF_CASE = "CASE raw WHEN 'i' THEN 'd' WHEN 'F' THEN 'f' WHEN 'E' THEN 'e' WHEN 'G' THEN 'g' WHEN 'A' THEN 'a' ELSE raw END"
+_SCANF_CASE = "CASE WHEN raw IN ('a', 'e', 'f') THEN 'g' ELSE raw END"
 
 
 def _specs_sql(source: str, style: str) -> str:
-    """Spec rows of ``source(id, text)``; built on the same fixed tables as the operator."""
+    """Spec rows of ``source(id, text)``."""
     if style == "printf":
-        pattern, types, folds = formats.PRINTF_SPEC, formats.PRINTF_TYPES, formats.PRINTF_FOLDS
+        pattern = r"%([-+ #0']*)(\*|[1-9]\d*)?(\.(\*|\d*))?(hh|ll|[hljztL])?([%CEFGASXacdefginopsux])"
+        types, conversion = _PRINTF_SQL, _PRINTF_CASE
         parts = "g(1) AS flags, g(2) AS width, g(4) AS precision, g(5) AS length, g(6) AS raw"
         free = "left(conversion, 1) IN ('n', '%')"
     else:
-        pattern, types, folds = formats.SCANF_SPEC, formats.SCANF_TYPES, formats.SCANF_FOLDS
+        pattern = r"%(?:(\*)|(\d+))?(hh|ll|[hljztL])?([%CSacdefginopsux]|\[\^[^\]^]*\]|\[[^\]^][^\]^]*\])"
+        types, conversion = _SCANF_SQL, _SCANF_CASE
         parts = "g(1) AS flags, g(2) AS width, '' AS precision, g(3) AS length, g(4) AS raw"
         free = "false"
     quoted = pattern.replace("'", "''")
     for i in range(1, 7):
         parts = parts.replace(f"g({i})", f"regexp_extract(spec, '^{quoted}$', {i})")
-    return rf"""WITH {_types_sql(types)}, src AS ({source}),
+    return rf"""WITH {types}, src AS ({source}),
         lists AS (SELECT id, regexp_extract_all(text, '{quoted}|%') AS l FROM src),
         m AS (SELECT id, unnest(l) AS spec, generate_subscripts(l, 1) - 1 AS pos FROM lists),
         parts AS (SELECT *, {parts} FROM m),
         clean AS (SELECT * REPLACE (regexp_replace(width, '^0+([0-9])', '\1') AS width,
-                  regexp_replace(precision, '^0+([0-9])', '\1') AS precision), {_case_sql(folds)} AS conversion
+                  regexp_replace(precision, '^0+([0-9])', '\1') AS precision), {conversion} AS conversion
                   FROM parts),
         specs AS (SELECT id, pos::BIGINT AS pos, spec, flags, width, precision, length, conversion,
             CASE WHEN raw <> '' THEN '%' || flags || width || CASE WHEN precision <> '' THEN '.' || precision

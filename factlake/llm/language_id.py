@@ -187,17 +187,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text is in no language: ``und``, or no better than the even code.
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", *, margin: float = 64.0) -> DataFrame:
+    """``docs`` without the rows whose text is in no language: ``und``, or shorter in the even code than in any
+    language by ``margin`` bits or more (a short text has too little to say so).
 
     Kept rows are unchanged and may be repeated; null texts go.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def known(data: bytes | None) -> bool:
+        lang, _, bits = shared.value.predict(data)
+        return lang != UND and (bits - BITS) * len(data) < margin
+
     def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            found = (shared.value.predict(t.as_py()) for t in part)
-            yield pa.array([lang != UND and bits < BITS for lang, _, bits in found], pa.bool_())
+            yield pa.array([known(t.as_py()) for t in part], pa.bool_())
 
     return docs.filter(F.arrow_udf(good, "boolean")(F.col(text_col).cast("binary")))
 

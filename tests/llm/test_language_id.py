@@ -86,7 +86,7 @@ def test_probabilities_by_hand():
 
 
 def test_keep_known(spark):
-    docs = documents(spark, corpus()[:90] + [(900, None, None), (901, "12 !!", None), (902, "", None), (903, text("bb", 5), None)])
+    docs = documents(spark, corpus()[:90] + [(900, None, None), (901, "12 !!", None), (902, "", None), (903, text("bb", 5), None), (904, "q", None), (905, "QX7ZJ KQXW VJQZ XKCDQ WQJXZ PQXZV " * 20, None)])
     kept = language_id.keep_known(docs, language_id.fit(docs))
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [*range(90), 903]
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(90), 903, 904]

@@ -107,6 +107,29 @@ def d2(t):
     return op.resolve_opaque(fields, nodes, opaque)
 
 
+@query(
+    "d2_then_d1",
+    # named nations: customers agree iff segment, nation and order priorities do, also where the nation stays opaque
+    """WITH pri AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
+       SELECT 'C' || c_custkey AS id, min('C' || c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey, l) AS rep
+       FROM customer LEFT JOIN pri ON o_custkey = c_custkey
+       UNION ALL SELECT 'R' || r_regionkey, 'R' || r_regionkey FROM region
+       UNION ALL SELECT 'N' || n_nationkey, 'N' || n_nationkey FROM nation WHERE n_regionkey <> 4""",
+)
+def d2_then_d1(t):
+    nodes, fields = _records(t)
+    nations = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    opaque = nations.select(F.concat(F.lit("X"), "name").alias("id"), "name")
+    # homes are declared by name only, and the nations of one region have no body
+    declared = nations.select(F.col("id").alias("child"), F.concat(F.lit("X"), "name").alias("_name"))
+    homes = fields.join(declared, "child", "left").withColumn("child", F.coalesce("_name", "child"))
+    defined = nations.filter("n_regionkey <> 4").select("id", "name", F.lit(False).alias("generated"))
+    nodes = nodes.filter(~F.col("id").startswith("N")).unionByName(defined)
+    homes = homes.join(nodes.select("id"), "id", "left_semi").select(*fields.columns)
+    every = nodes.unionByName(opaque.withColumn("generated", F.lit(False)))
+    return op.structural_classes(nodes, op.resolve_opaque(homes, every, opaque)).select("id", "rep")
+
+
 _REPS = "WITH r AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents)"
 
 

@@ -61,7 +61,7 @@ class CachedTokenizer:
         parts = [_CUT.split(t) if _LOOSE.search(t) else t.split(" ") for t in texts]
         if len(self.known) > _CACHED:
             self.known.clear()
-        self._learn(list({w for p in parts for w in p[1:]}.difference(self.known)))
+        self._learn(list(set().union(*(p[1:] for p in parts)).difference(self.known)))
         heads = self._ids([p[0] for p in parts])
         return [head.tobytes() + b"".join(map(self.known.__getitem__, p[1:])) for head, p in zip(heads, parts)]
 

@@ -14,6 +14,8 @@ from factlake.operators.graph import connected_components
 from factlake.plans.scratch import Scratch
 
 _NONE = -1
+#: The least number of links of vectors with few, more and many links.
+_STRATA = (1, 10, 100)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -91,8 +93,9 @@ def near_duplicates(
     reaches, never the pairs, so a dense group does not blow up; a shard with more than twice its share,
     which very many near-copies bring about, is cut in blocks and each two blocks are worked on as a shard.
 
-    ``audited`` vectors are compared with all others by brute force; while fewer than ``recall`` of their
-    links were found, the overlap is doubled, until every shard holds everything.
+    Of the vectors with no, few (1 to 9), more (10 to 99) and many found links ``audited`` each are compared with
+    all others by brute force; while the mean recall of a vector is under ``recall`` among those with few,
+    more or many true links, the overlap is doubled, until every shard holds everything.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "vecdup")
@@ -218,18 +221,22 @@ def _links(nodes: DataFrame, total: int, centroids: np.ndarray, overlap: int, co
 
 
 def _audit(nodes: DataFrame, links: DataFrame, cosine: float, audited: int) -> float:
-    """The share of the links of ``audited`` linked vectors that was found, by comparison with all vectors.
+    """The mean recall of a vector's links in the worst stratum of true links, by comparison with all vectors.
 
-    Half of the audited vectors are taken from those with links and half from all, by hashed id.
+    ``audited`` vectors are taken, by hashed id, of each stratum of found links.  A vector stands for as many as
+    its stratum has for each one taken, and counts in the stratum of its true links whatever their number, so
+    neither a large group nor the many vectors without links hide what the small groups lost.
     """
     found = links.groupBy("id").agg(F.sum("n").alias("n"))
-    some = nodes.join(found, "id")
-    place = F.xxhash64("id")
-    picked = [some.filter(c).orderBy(place, "id").limit(audited // 2).toArrow() for c in ("n > 0", "n = 0")]
-    taken = pa.concat_tables(picked)
-    if not taken.num_rows:
+    stratum = F.when(F.col("n") == 0, 0).otherwise(sum((F.col("n") >= limit).cast("int") for limit in _STRATA))
+    some = nodes.join(found.withColumn("stratum", stratum), "id")
+    sizes = {r["stratum"]: r["count"] for r in found.groupBy(stratum.alias("stratum")).count().collect()}
+    if not sizes:
         return 1.0
+    place = F.xxhash64("id")
+    taken = pa.concat_tables([some.filter(F.col("stratum") == k).orderBy(place, "id").limit(audited).toArrow() for k in sorted(sizes)])
     ids, y = taken["id"].to_numpy(), unit(matrix(taken["vec"].combine_chunks()))
+    order = np.argsort(ids)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
@@ -237,14 +244,21 @@ def _audit(nodes: DataFrame, links: DataFrame, cosine: float, audited: int) -> f
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
                 hit = unit(matrix(part.column(2))) @ y.T >= cosine
-                hit &= part.column(0).to_numpy()[:, None] != ids[None]
+                own = part.column(0).to_numpy()
+                at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
+                self_ = ids[at] == own
+                hit[self_, at[self_]] = False
                 total += part.column(1).to_numpy() @ hit
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
 
     true = nodes.select("id", "weight", "vec").mapInArrow(scan, "id bigint, n bigint")
     true = {r["id"]: r["n"] for r in true.groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    want = sum(true[i] for i in ids.tolist())
-    return min(1.0, sum(taken["n"].to_pylist()) / want) if want else 1.0
+    want, got = np.array([true[i] for i in ids.tolist()]), taken["n"].to_numpy()
+    picked = taken["stratum"].to_numpy()
+    stands = np.array([sizes[k] / (picked == k).sum() for k in picked.tolist()])
+    kind = np.searchsorted(_STRATA, want, side="right")
+    recall = np.minimum(1.0, got / np.maximum(want, 1))
+    return min((float(np.average(recall[kind == k], weights=stands[kind == k])) for k in set(kind[want > 0].tolist())), default=1.0)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

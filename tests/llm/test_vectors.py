@@ -64,6 +64,19 @@ def test_dense_group_is_cut_in_blocks(spark):
     assert {got[i].component_id for i, _ in dense} == {0}
 
 
+def test_audit_sees_small_groups(spark):
+    """All links of a large group found and none of the pairs': the group does not hide them."""
+    rng = np.random.default_rng(4)
+    dense = [rng.normal(size=8)] * 300 + 0.001 * rng.normal(size=(300, 8))
+    pairs = np.repeat(rng.normal(size=(100, 64)), 2, axis=0) + 0.01 * rng.normal(size=(200, 64))
+    x = np.zeros((500, 72))
+    x[:300, :8], x[300:, 8:] = dense, pairs
+    nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id bigint, weight bigint, vec array<double>")
+    links = lambda n: spark.createDataFrame([(i, 299 if i < 300 else n, 0) for i in range(500)], "id bigint, n bigint, least bigint")
+    assert embedding_dups._audit(nodes, links(1), 0.9, 64) == 1
+    assert embedding_dups._audit(nodes, links(0), 0.9, 64) == 0
+
+
 def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(500, [1.0, 2.0, 3.1]), (501, [-1.0, 0.0, 0.0]), (7, [1.0, 2.0, 3.0])]
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dups.near_duplicates(table(spark, rows)).collect()]

@@ -16,6 +16,8 @@ from factlake.plans.scratch import Scratch
 _NONE = -1
 #: The least number of links of vectors with few, more and many links.
 _STRATA = (1, 10, 100)
+#: A group's matrix of distances has at most about so many rows.
+_MOST_ROWS = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -90,8 +92,9 @@ def near_duplicates(
     in all its shards are united, and each shard searches its part of the united graph, from its medoid, for
     every member.  Found pairs are verified in doubles.  A pair counts in the first shard that both are in.
     Shards pass on one row for each member: how many links it owns and the smallest member it
-    reaches, never the pairs, so a dense group does not blow up; a shard with more than twice its share,
-    which very many near-copies bring about, is cut in blocks and each two blocks are worked on as a shard.
+    reaches, never the pairs, so a dense group does not blow up; a shard with more than twice its share
+    (``2 * overlap * shard_rows``) or 4096 members, which very many near-copies, a wide overlap or a very large
+    table bring about, is cut in blocks and each two blocks are worked on as a shard.
 
     Of the vectors with no, few (1 to 9), more (10 to 99) and many found links ``audited`` each are compared with
     all others by brute force; while the mean recall of a vector is under ``recall`` among those with few,
@@ -113,7 +116,7 @@ def near_duplicates(
     shards = max(1, min(max_shards, nodes.rows // shard_rows))
     centroids = balanced_centroids(unit(sample(nodes.df, nodes.rows, 64 * shards)), shards)
     while True:
-        links = scratch.save(_links(nodes.df, nodes.rows, centroids, overlap, cosine, degree, beam), "l").df
+        links = scratch.save(_links(nodes.df, shard_rows, centroids, overlap, cosine, degree, beam), "l").df
         share = _audit(nodes.df, links, cosine, audited)
         if share >= recall or overlap >= shards:
             break
@@ -158,12 +161,13 @@ def _members(nodes: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame
     return nodes.select("id", "weight", "vec").mapInArrow(run, _MEMBER)
 
 
-def _links(nodes: DataFrame, total: int, centroids: np.ndarray, overlap: int, cosine: float, degree: int, beam: int) -> DataFrame:
-    """``(id, n, least)``: for each vector and block pair of its shards the weight of the links owned there, and the
-    smallest id reached there."""
-    scratch = Scratch(nodes.sparkSession, "vecdup")
-    members = scratch.save(_members(nodes, centroids, overlap), "m").df
-    limit = max(256, 2 * overlap * total // len(centroids))
+def _block_rows(overlap: int, shard_rows: int) -> int:
+    """How many members are worked on together: set by rows, whatever the size of the table."""
+    return min(_MOST_ROWS, max(256, 2 * overlap * shard_rows))
+
+
+def _cut(members: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """``members`` once for each pair ``(i, j)`` of blocks of about ``limit / 2`` that its shard has and it is in."""
     # one row for each shard, at most as many as there are centroids
     sizes = scratch.save(members.groupBy("shard").agg(F.ceil(2 * F.count("*") / limit).alias("blocks")), "s").df
     cut = members.join(F.broadcast(sizes), "shard")
@@ -172,7 +176,15 @@ def _links(nodes: DataFrame, total: int, centroids: np.ndarray, overlap: int, co
     # block b meets every block: task (i, j), i <= j, has blocks i and j
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     cut = cut.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    cut = cut.select("shard", "i", "j", "block", "id", "weight", "shards", "vec")
+    return cut.select("shard", "i", "j", "block", "id", "weight", "shards", "vec")
+
+
+def _links(nodes: DataFrame, shard_rows: int, centroids: np.ndarray, overlap: int, cosine: float, degree: int, beam: int) -> DataFrame:
+    """``(id, n, least)``: for each vector and block pair of its shards the weight of the links owned there, and the
+    smallest id reached there."""
+    scratch = Scratch(nodes.sparkSession, "vecdup")
+    members = scratch.save(_members(nodes, centroids, overlap), "m").df
+    cut = _cut(members, _block_rows(overlap, shard_rows), scratch)
     key = ["shard", "i", "j"]
 
     def build(group: pa.Table) -> pa.Table:

@@ -3,6 +3,7 @@ import pytest
 
 from factlake.llm import ann_search, embedding_dups
 from factlake.llm.vectors import balanced_centroids, beam_search, robust_prune, squared
+from factlake.plans.scratch import Scratch
 
 FIELDS = "vec_id bigint, embedding array<float>, label int, id string, vec string, shard string, list string"
 ODD = [
@@ -77,6 +78,17 @@ def test_audit_sees_small_groups(spark):
     assert embedding_dups._audit(nodes, links(0), 0.9, 64) == 0
 
 
+def test_groups_do_not_grow_with_table_or_overlap(spark):
+    """A shard that holds a whole table is worked on in groups of the block size, and every two members meet."""
+    limit = embedding_dups._block_rows(64, 700)
+    assert limit == embedding_dups._block_rows(8, 700) == 4096
+    members = spark.range(9000).selectExpr("0 AS shard", "id", "1L AS weight", "array(0) AS shards", "array(1.0D) AS vec")
+    cut = embedding_dups._cut(members, limit, Scratch(spark, "test"))
+    groups = cut.groupBy("i", "j").count().collect()
+    assert len(groups) == 15 and max(r["count"] for r in groups) <= 1.1 * limit
+    assert len({r["block"] for r in cut.select("block").distinct().collect()}) == 5
+
+
 def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(500, [1.0, 2.0, 3.1]), (501, [-1.0, 0.0, 0.0]), (7, [1.0, 2.0, 3.0])]
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dups.near_duplicates(table(spark, rows)).collect()]

@@ -90,3 +90,40 @@ def test_keep_known(spark):
     kept = language_id.keep_known(docs, language_id.fit(docs))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [*range(90), 903, 904]
+
+
+ALPHABETS = [(0x61, 26), (0x3B1, 24), (0x430, 32), (0x561, 38), (0x5D0, 27), (0x627, 36), (0x905, 50), (0x995, 30), (0xE01, 46), (0x10D0, 33), (0x3041, 80), (0x4E00, 400), (0xAC00, 400)]
+
+
+def neighbours(alphabet, lang, seed, n):
+    """``n`` letters of one of two languages that share an alphabet and how frequent its letters are, not their order."""
+    start, size = ALPHABETS[alphabet]
+    rng, out = random.Random(f"{alphabet} {lang} {seed}"), []
+    letter = rng.randrange(size)
+    for _ in range(n):
+        letter = (letter * (5 if lang else 7) + rng.randrange(1, 4)) % size
+        out.append(chr(start + letter) + (" " if rng.random() < 0.15 else ""))
+    return "".join(out)
+
+
+def test_neighbours_in_several_scripts(spark):
+    sides = [(a, b) for a in range(len(ALPHABETS)) for b in range(2)]
+    docs = documents(spark, [(k * 100 + i, neighbours(a, b, i, 300), f"{a:02}{b}") for k, (a, b) in enumerate(sides) for i in range(40)])
+    model = language_id.fit(docs)
+    right = {a: [model.predict(neighbours(a, b, 1000 + i, 40).encode())[0] == f"{a:02}{b}" for b in range(2) for i in range(30)] for a, _ in sides}
+    assert min(np.mean(r) for r in right.values()) >= 0.9, {a: np.mean(r) for a, r in right.items()}
+
+
+def test_many_languages_keep_their_contexts(monkeypatch):
+    """The sparse tables give the same code lengths as the one for all languages."""
+    raw = np.frombuffer(b"\n\n\n" + "".join(neighbours(a, 0, 1, 400) for a in (0, 2, 6, 11)).encode(), np.uint8).astype(np.int64)
+    grams, n = np.unique((raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:], return_counts=True)
+    build = lambda: language_id.build(["x"], np.zeros(len(grams), np.int64), grams, n, 16_384)
+    data = "".join(neighbours(a, 0, 2, 200) for a in (0, 2, 6, 11)).encode()
+    want = build()
+    monkeypatch.setattr(language_id, "_CELLS", 8)
+    got = build()
+    assert len(got.cost) < len(want.cost) and np.allclose(got.bits(data), want.bits(data), rtol=1e-4)
+    # the codes of all bytes in one context are a code
+    each = [got.bits(b"abc" + bytes([b])) - got.bits(b"abc") for b in np.unique(language_id._FOLD)]
+    assert np.isclose(np.exp2(-np.array(each)).sum(), 1, atol=1e-3)

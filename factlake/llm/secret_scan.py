@@ -38,15 +38,17 @@ CLASSES = [
     ),
 ]
 
-#: Candidates that are no secrets: numbers, words joined by dashes or slashes, placeholders.
+#: Candidates that are no secrets: numbers, words joined by dashes or slashes, placeholders.  No group is repeated:
+#: Java runs such a pattern by recursion, and a long run overflows its stack.
 ALLOW = [
     r"^[0-9]+$",
-    r"^[A-Za-z]*([/_-][A-Za-z]*)*$",
+    r"^[A-Za-z/_-]*$",
     r"(?i)example|placeholder|changeme|x{8,}",
 ]
 
 _UNIT = 1 << 20
 _BLOCK = 256
+_BITS = 5
 _SPANS = "array<struct<start:bigint,stop:bigint,hit:string>>"
 
 
@@ -92,29 +94,47 @@ def _hot_part(c: EntropyClass) -> Callable[[Column], Column]:
     return lambda span: _hot_windows(span, c)
 
 
+def _packed(c: EntropyClass) -> tuple[Column, Column, list[Column]]:
+    """By the code of a symbol: the word that has its count, the bit at which it begins, and what one adds to each word.
+
+    Counts are at most the window's length, which ``_BITS`` hold; code 0 is no symbol and adds nothing.
+    """
+    each = 63 // _BITS
+    codes = range(len(c.alphabet) + 1)
+    words = -(-len(c.alphabet) // each)
+    adds = [[1 << _BITS * (k - 1 - each * j) if 0 <= k - 1 - each * j < each else 0 for k in codes] for j in range(words)]
+    word, shift = [max(k - 1, 0) // each for k in codes], [_BITS * (max(k - 1, 0) % each) for k in codes]
+    return F.lit(word), F.lit(shift), [F.array(*[F.lit(n).cast("bigint") for n in a]) for a in adds]
+
+
 def _hot_windows(span: Column, c: EntropyClass) -> Column:
     """``span`` cut down to its windows of high entropy: from the first one's start to the last one's end.
 
     One pass: each character enters the counts, the one that leaves the window is taken off, and the
-    sum of n log2 n follows by differences.  Both places are null if there is no such window.
+    sum of n log2 n follows by differences.  Both places are null if there is no such window.  Counts are
+    packed into a few longs, so a step changes these and not a counter for each symbol.
     """
+    if c.window >= 1 << _BITS:
+        raise ValueError(f"{c.kind}: windows have at most {(1 << _BITS) - 1} characters")
     text = F.lower(span["hit"]) if c.fold else span["hit"]
     codes = F.transform(F.split(text, ""), lambda ch: F.instr(F.lit(c.alphabet), ch))
     leaving = F.concat(F.array_repeat(F.lit(0), c.window), codes)
     steps = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("new"), b.alias("old")))
-    weights = F.array(*[F.lit(weight(n)).cast("bigint") for n in range(c.window + 2)])
+    word, shift, adds = _packed(c)
+    # what the sum gains when a count n becomes n + 1
+    gains = F.array(*[F.lit(weight(n + 1) - weight(n)).cast("bigint") for n in range(c.window + 2)])
 
-    def w(n: Column) -> Column:
-        return F.element_at(weights, n + 1)
+    def count(acc: Column, code: Column) -> Column:
+        own = F.get(acc["n"], F.get(word, code))
+        return F.call_function("shiftright", own, F.get(shift, code)).bitwiseAND((1 << _BITS) - 1).cast("int")
 
     def slide(acc: Column, step: Column) -> Column:
         new, old = step["new"], step["old"]
-        n_new = F.element_at(acc["n"], new)
-        n_old = F.element_at(acc["n"], F.greatest(old, F.lit(1)))
-        change = F.when(new == old, 0).otherwise(w(n_new + 1) - w(n_new) + F.when(old > 0, w(n_old - 1) - w(n_old)).otherwise(0))
+        loss = F.when(old > 0, F.get(gains, count(acc, old) - 1)).otherwise(0)
+        change = F.when(new == old, 0).otherwise(F.get(gains, count(acc, new)) - loss)
         total, i = acc["sum"] + change, acc["i"] + 1
         hot = (i >= c.window) & (total <= heaviest(c))
-        counts = F.transform(acc["n"], lambda x, j: x + (j + 1 == new).cast("int") - (j + 1 == old).cast("int"))
+        counts = F.array(*[F.get(acc["n"], F.lit(j)) + F.get(a, new) - F.get(a, old) for j, a in enumerate(adds)])
         moved = F.struct(
             i.alias("i"), counts.alias("n"), total.alias("sum"),
             F.coalesce(acc["first"], F.when(hot, i - c.window)).alias("first"),
@@ -123,7 +143,7 @@ def _hot_windows(span: Column, c: EntropyClass) -> Column:
         return F.when(new.isNull(), acc).otherwise(moved)
 
     start = F.struct(
-        F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(c.alphabet)).alias("n"), F.lit(0).cast("bigint").alias("sum"),
+        F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("bigint"), len(adds)).alias("n"), F.lit(0).cast("bigint").alias("sum"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
     part = F.aggregate(steps, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
@@ -154,7 +174,9 @@ def secret_scan(
     dropped.  ``classes`` add, for each maximal run of their characters, the part between the first and
     the last window of high Shannon entropy, unless the run matches a pattern of ``allow``, which
     suppresses no base span.  Places count code points from 0, ends are exclusive.  Null and empty texts
-    have no spans; repeated rows stay repeated; other columns are not read.  One scan, no shuffle.
+    have no spans; repeated rows stay repeated; other columns are not read.  Texts and runs of any length are
+    read whole, in one pass of a few changed words a character; a pattern of ``allow`` is searched in the whole run,
+    so one that any part of it matches suppresses all of it.  One scan, no shuffle.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))

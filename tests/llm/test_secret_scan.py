@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -84,3 +85,16 @@ def test_base_patterns_match_as_without_least_lengths():
             assert same == [m.span() for m in re.finditer(plain, text) if len(m[g]) >= n]
 
     check()
+
+
+def test_very_long_runs(spark):
+    rows = [(1, "-" * 1_000_000), (2, "a/" * 500_000), (3, "_-" * 3_000 + TOKEN), (4, TOKEN * 8_000), (5, "ab9/" * 60_000 + TOKEN)]
+    assert run(spark, rows) == expected(rows)
+
+
+def test_packed_counts_hold_a_whole_window(spark):
+    wide = secret_scan.EntropyClass("wide", "a-c", "abc", 31, -0.1)
+    got = secret_scan.secret_scan(documents(spark, [(1, "x " + "a" * 70 + "bc")]), classes=[wide], allow=[]).first()
+    assert [tuple(s)[:2] for s in got.wide] == [(2, 74)]
+    with pytest.raises(ValueError, match="at most 31"):
+        secret_scan.secret_scan(documents(spark, []), classes=[secret_scan.EntropyClass("w", "a-c", "abc", 32, 0.0)])

@@ -80,32 +80,41 @@ class Lists:
 
 
 def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best of ``v`` for each row of ``q``, other ids only: query ids, vector ids, inner products.
+    """The ``k`` best ids of ``v`` for each row of ``q``, other ids only: query ids, vector ids, inner products.
 
-    With ``least`` only scores of at least that of their query.
+    An id that several rows of ``v`` have counts once, by its best row.  With ``least`` only scores of at least
+    that of their query.
 
     A product of matrices picks all that could be among them, ties included; their scores are then summed
     component by component, alike for equal vectors wherever they stand.
     """
+    order = np.argsort(vid, kind="stable")
+    vid, v = vid[order], v[order]
+    ids_begin = np.flatnonzero(np.diff(vid, prepend=vid[:1] - 1))
     out = []
     for begin in range(0, len(q), 256):
         part, ids = q[begin : begin + 256], qid[begin : begin + 256]
         rough = part @ v.T
         rough[ids[:, None] == vid[None]] = -np.inf
-        if len(vid) > k:
-            floor = np.partition(rough, len(vid) - k, axis=1)[:, len(vid) - k]
+        if len(ids_begin) > k:
+            each = np.maximum.reduceat(rough, ids_begin, axis=1) if len(ids_begin) < len(vid) else rough
+            floor = np.partition(each, len(ids_begin) - k, axis=1)[:, len(ids_begin) - k]
         else:
             floor = np.full(len(part), -np.inf)
         slack = 1e-9 * np.linalg.norm(part, axis=1) * np.sqrt((v**2).sum(axis=1).max())
         rows, cols = np.nonzero((rough >= (floor - slack)[:, None]) & np.isfinite(rough))
         score = np.concatenate([(part[rows[i : i + 65536]] * v[cols[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
-        order = np.lexsort((vid[cols], -score, rows))
-        rows, cols, score = rows[order], cols[order], score[order]
-        first = np.searchsorted(rows, rows)
-        top = np.arange(len(rows)) - first < k
+        found = vid[cols]
+        order = np.lexsort((-score, found, rows))
+        first = np.ones(len(order), bool)
+        first[1:] = (np.diff(rows[order]) != 0) | (np.diff(found[order]) != 0)
+        order = order[first]
+        order = order[np.lexsort((found[order], -score[order], rows[order]))]
+        rows, found, score = rows[order], found[order], score[order]
+        top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         if least is not None:
             top &= score >= least[begin + rows]
-        out.append((ids[rows[top]], vid[cols[top]], score[top]))
+        out.append((ids[rows[top]], found[top], score[top]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -128,7 +137,8 @@ def search(
 
     Both tables have ``id_col`` and ``vec_col``.  Candidates are all rows of ``table`` but those with the
     query's own id.  Null, zero and non-finite vectors, those of an uncommon length and rows without id take
-    no part.  Of rows that repeat an id the best score counts; as a query its least vector.  Ties go to
+    no part.  Rows that repeat id and vector count once; of an id with several vectors the best score counts, as a
+    query its least vector.  Ties go to
     the smaller id; with fewer candidates all are returned; empty tables give no rows.
 
     The centroids are fitted on a sample of at most 64 vectors a list; every vector is then filed under its
@@ -145,7 +155,8 @@ def search(
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if usable_is_empty(table, vec_col):
         return spark.createDataFrame([], schema)
-    rows = scratch.save(usable(table, id_col, vec_col).withColumn("id", F.col("id").cast("bigint")), "v")
+    different = usable(table, id_col, vec_col).select(F.col("id").cast("bigint").alias("id"), "vec").distinct()
+    rows = scratch.save(different, "v")
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     info = rows.df.agg(F.max(length).alias("r"), F.max(F.size("vec")).alias("d")).first()
     if not rows.rows:
@@ -198,7 +209,8 @@ def _visited(visits: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     key = ["list", "vb", "qb"]
 
     def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        cut = side.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)))
+        # by the vector too: the rows of one id are spread as well, and each block folds its own
+        cut = side.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64("id", "vec"), F.col(own_n)))
         cut = cut.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
         return cut.select(*key, *[c for c in side.columns if c not in ("list", "turn")])
 
@@ -238,7 +250,8 @@ def _ratio(asked: DataFrame, postings: DataFrame, lists: Lists, k: int, audited:
                 found = best(qid, q, vid, matrix(batch.column(1)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
-    true = postings.select("id", "vec").mapInArrow(scan, "query_id bigint, vec_id bigint, score double").distinct()
+    true = postings.select("id", "vec").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+    true = true.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = true.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     filed = true.join(postings.select(F.col("id").alias("vec_id"), "list"), "vec_id").groupBy("query_id", "vec_id")

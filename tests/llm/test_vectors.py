@@ -158,6 +158,27 @@ def test_search_ties_copies_and_few_candidates(spark):
     assert ann(spark, few, few[:1]) == {1: [(1, 3, 2.0), (2, 2, 0.0)]}
 
 
+@pytest.mark.parametrize("list_rows", [1000, 40])
+def test_search_finds_k_ids_though_rows_repeat(spark, list_rows):
+    rng = np.random.default_rng(9)
+    different = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(100)]
+    other = [(i, (np.array(v) * 0.5).tolist()) for i, v in different]
+    for rows in (different * 25, [*different * 4, *other * 3]):
+        queries = different[::10]
+        got, want = ann(spark, rows, queries, list_rows=list_rows), brute_nearest(rows, queries, 20)
+        assert all([r for r, *_ in got[i]] == list(range(1, 21)) for i in want)
+        assert all(len({j for _, j, _ in got[i]}) == 20 for i in want)
+        hits = sum(len({j for _, j, _ in got[i]} & {j for _, j in want[i]}) for i in want)
+        assert hits >= 0.9 * 20 * len(want)
+
+
+def test_best_counts_an_id_once_and_by_its_best_row():
+    vid = np.array([4, 2, 4, 2, 9, 4])
+    v = np.array([[1.0], [5.0], [3.0], [4.0], [2.0], [3.0]])
+    ids, found, score = ann_search.best(np.array([1, 9]), np.array([[1.0], [1.0]]), vid, v, 2)
+    assert ids.tolist() == [1, 1, 9, 9] and found.tolist() == [2, 4, 2, 4] and score.tolist() == [5, 3, 5, 3]
+
+
 def test_balanced_centroids_and_beam_search():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(640, 8))

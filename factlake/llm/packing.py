@@ -30,11 +30,16 @@ class CachedTokenizer:
     Its pattern begins a new token at every space before other than white space, so the ids of a text
     are those of its parts cut there, one after the other.  Parts are kept, up to a number that
     bounds memory only; new ones are encoded together, and a marked space shows where each begins.
+
+    A text that spells an added token of the file (such as ``<|endoftext|>``) is encoded whole, so that it
+    has the ids of a plain call, that token's among them; with ``spelled`` such a token has the ids of its letters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spelled: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelled
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (spelled and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -58,6 +63,11 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if whole:
+            found = dict(zip(whole, self._ids([texts[i] for i in whole])))
+            others = iter(self.encode([t for i, t in enumerate(texts) if i not in found]))
+            return [found[i].tobytes() if i in found else next(others) for i in range(len(texts))]
         parts = [_CUT.split(t) if _LOOSE.search(t) else t.split(" ") for t in texts]
         if len(self.known) > _CACHED:
             self.known.clear()
@@ -67,8 +77,8 @@ class CachedTokenizer:
 
 
 @cache
-def _tokenizer(path: str) -> CachedTokenizer:
-    return CachedTokenizer(path)
+def _tokenizer(path: str, spelled: bool) -> CachedTokenizer:
+    return CachedTokenizer(path, spelled)
 
 
 class Packer:
@@ -157,6 +167,7 @@ def pack(
     text_col: str = "text",
     *,
     tokenizer: str | None = None,
+    spelled: bool = False,
     tiers: tuple[int, ...] = TIERS,
     block_tokens: int = 1 << 20,
     step_tokens: int = 1 << 14,
@@ -164,6 +175,8 @@ def pack(
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id``.
 
     A document is its ids and one 0; null and empty texts are the 0 alone.  Every id lies in one piece.
+    A special token that a text spells has its own id, as in a plain call, or with ``spelled`` the ids of
+    its letters.  Texts of any length are encoded whole and held by one task with their ids.
     ``tiers`` are falling powers of two.  Sequences are full but for the last of each input split, which
     have falling powers of two, so nothing is padded.  ``step_id`` groups sequences of one ``tier`` (their
     length) to steps of ``step_tokens`` ids, so that steps cost the same.  Repeated rows are packed one by
@@ -174,7 +187,7 @@ def pack(
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = _tokenizer(path), Packer(tiers)
+        encoder, packer = _tokenizer(path, spelled), Packer(tiers)
         base = TaskContext.get().partitionId() << 33
         ids: dict[int, tuple[object, bytes]] = {}  # by number: id of the document and its ids, while pieces wait
         number = sequence = tokens = 0

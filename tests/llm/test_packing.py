@@ -12,7 +12,6 @@ from tests.llm.data import EDGES, documents, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 CACHED = packing.CachedTokenizer(PATH)
 
 
@@ -105,3 +104,12 @@ def test_packer_fills_windows(sizes, every):
     for i, n in enumerate(sizes):
         spans = sorted((first, k) for w in out for doc, first, k in w if doc == i)
         assert [f for f, _ in spans] == [sum(k for _, k in spans[:j]) for j in range(len(spans))] and sum(k for _, k in spans) == n
+
+
+def test_special_tokens_have_their_ids():
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "plain text", "", "x<|endoftext|>\n\n y  z", "<|endoftex|>"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in CACHED.encode(texts)]
+    assert got == [ids(t) for t in texts]
+    assert got[0] == [TOKENIZER.token_to_id("<|endoftext|>")]
+    spelled = packing.CachedTokenizer(PATH, spelled=True).encode(texts)
+    assert len(spelled[0]) > 4 and spelled[2] == CACHED.encode(texts)[2]

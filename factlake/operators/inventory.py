@@ -112,8 +112,21 @@ def tokens(df: DataFrame, col: str, pattern: str, out: str = "token") -> DataFra
     return df.select(*keep, F.explode(found).alias(out))
 
 
+def path_pattern(part: str, separator: str = "::", *, blanks: bool = False) -> str:
+    """Pattern of a path of any length: ``part``, then separators and further parts.
+
+    Java runs a repeated group by recursion, so a path of some thousand parts would overflow its stack; the
+    possessive form is a loop and matches the same, as nothing comes after it.
+    """
+    between = rf"\s*{separator}\s*" if blanks else separator
+    return f"{part}(?:{between}{part})*+"
+
+
 def distinct_tokens(df: DataFrame, col: str, pattern: str, separator: str = "::") -> DataFrame:
-    """P5: the set of matches of ``pattern``; blanks around path separators are removed."""
+    """P5: the set of matches of ``pattern``; blanks around path separators are removed.
+
+    For paths take ``path_pattern``, whatever their length.
+    """
     token = F.regexp_replace("token", rf"\s*{separator}\s*", separator)
     return tokens(df, col, pattern).select(token.alias("token")).distinct()
 

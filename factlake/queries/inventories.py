@@ -65,7 +65,7 @@ def p4(t):
        FROM documents""",
 )
 def p5(t):
-    return op.distinct_tokens(t.documents.select("text"), "text", "[A-Za-z]+(?:::[A-Za-z]+)*")
+    return op.distinct_tokens(t.documents.select("text"), "text", op.path_pattern("[A-Za-z]+"))
 
 
 @query(
@@ -75,7 +75,7 @@ def p5(t):
 )
 def p5_paths(t):
     paths = t.documents.select(F.replace("text", F.lit(". "), F.lit(" :: ")).alias("text"))
-    return op.distinct_tokens(paths, "text", r"[A-Za-z]+(?:\s*::\s*[A-Za-z]+)*")
+    return op.distinct_tokens(paths, "text", op.path_pattern("[A-Za-z]+", blanks=True))
 
 
 _CALLS = """SELECT event_id, event_type AS kind,

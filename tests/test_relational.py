@@ -246,3 +246,10 @@ def test_checks(spark):
     b = table(spark, [(1, 0, "x"), (1, 1, "y"), (2, 0, "z"), (2, 1, "z")], "k int, p int, n string")
     checks.assert_same_names(a, a, ["k"], "p", "n")
     assert rows(checks.different_names(a, b, ["k"], "p", "n")) == [(2,)]
+
+
+def test_distinct_tokens_of_very_long_paths(spark):
+    long = "::".join(["part"] * 100_000)
+    df = spark.createDataFrame([(f"{long} a::b x",), ("a :: b,c::",)], "text string")
+    got = inventory.distinct_tokens(df, "text", inventory.path_pattern("[A-Za-z]+", blanks=True))
+    assert {r.token for r in got.collect()} == {long, "a::b", "x", "c"}

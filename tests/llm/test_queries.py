@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9": "doc_id size source_size target taken",
     "op10": "query_id rank vec_id score",
+    "op11": "doc_id held_out score predicted",
+    "op12": "lang rank phrase a l r n score",
+    "op13": "lang source part item value rank",
 }
 
 

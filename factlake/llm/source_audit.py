@@ -137,8 +137,8 @@ def divergence(
     values come first, then items by bytes.
 
     Texts are cut at white space into chunks, which are counted in each document and added up by source; each
-    different chunk is cut into terms once, and its terms are joined back.  Whether a term stands in three documents
-    follows from the chunks' numbers of documents, or their only two.  The sum of a pair is that of two sources
+    different chunk is cut into terms once, and its terms are joined back.  Whether a term stands in enough documents
+    follows from its chunks' numbers of documents, or else from the one or two documents of each.  The sum of a pair is that of two sources
     without terms, plus what each adds by its own terms (alike for equal shares), plus a correction for
     terms that both have: memory for a block of pairs, output for each pair of sources.
 
@@ -155,15 +155,20 @@ def divergence(
     rows = docs.select(F.monotonically_increasing_id().alias("row"), filled(lang_col, "lang"), filled(source_col, "source"), F.col(text_col).cast("binary").alias("text"))
     groups = scratch.save(rows.select("lang", "source").distinct(), "g").df
     chunks = scratch.save(chunk_counts(rows), "c").df
-    # one row for each group, chunk and term: written, as three aggregates read it
+    # one row for each group, chunk and term: written, as the counts and the exact test read it
     having = scratch.save(chunks.join(chunk_terms(chunks), "chunk").withColumn("n", F.col("n") * F.col("times")).drop("chunk", "times"), "t").df
-    many = F.array(F.lit(-1), F.lit(-2), F.lit(-3)).cast("array<bigint>")
-    where = F.when(F.col("docs") >= 3, many).otherwise(F.array_distinct(F.array("lo", "hi")))
-    each = having.select("lang", "term", F.explode(where).alias("doc")).distinct()
-    kept = each.groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
+    bounds = [F.sum("docs").alias("most"), F.max("docs").alias("fewest")]
+    counts = scratch.save(having.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), *bounds), "n").df
+    # a document is in one source, so the sources' bounds add up; only terms between both are looked at again, and all
+    # chunks of these stand in one or two documents, which are known
+    known = counts.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.sum("fewest").alias("fewest")).filter(F.col("most") >= min_docs)
+    known = scratch.save(known, "b").df
+    open_ = known.filter(F.col("fewest") < min_docs).select("lang", "term")
+    each = having.join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc")).distinct()
+    enough = each.groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    kept = known.filter(F.col("fewest") >= min_docs).select("lang", "term").unionByName(enough.select("lang", "term"))
     kept = scratch.save(kept, "k").df
-    counts = having.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    counts = scratch.save(counts.join(kept, ["lang", "term"], "left_semi"), "n").df
+    counts = scratch.save(counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "n").df
 
     size = kept.groupBy("lang").agg(F.count("*").alias("v"))
     total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -30,6 +30,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for the bytes of each word: a polynomial in them, summed for a block of words at a time."""
+    out = np.empty(len(starts), np.uint64)
+    powers = np.cumprod(np.full(int((ends - starts).max()), 0x9E3779B97F4A7C15, np.uint64))
+    cut = np.searchsorted(ends, np.arange(0, len(data) + (1 << 20), 1 << 20), side="right")
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if a < b:
+            size = (ends - starts)[a:b]
+            first = np.cumsum(size) - size
+            spot = np.arange(int(size.sum())) - np.repeat(first, size)
+            byte = data[spot + np.repeat(starts[a:b], size)].astype(np.uint64) + np.uint64(1)
+            out[a:b] = np.add.reduceat(byte * powers[spot], first)
+    return _mixed(out)
+
+
 class Counter:
     """Counts the phrases of one step in the texts of one shard.
 
@@ -47,48 +62,66 @@ class Counter:
         data, begins = joined(texts)
         data = _LOWER[data]
         kind = _KIND[data]
-        inside = kind == 0
-        starts, ends = runs(inside, begins)
+        starts, ends = runs(kind == 0, begins)
         if not len(starts):
             return
-        word, words = dictionary(data, inside, ends - starts)
         breaks = np.zeros(len(kind) + 1, np.int32)
         np.cumsum(kind == 2, out=breaks[1:])
         doc = np.searchsorted(begins, starts, side="right") - 1
         # neighbours in one piece have this in common
         piece = breaks[starts] + doc
+        del kind, breaks
         lang_of = langs.dictionary_encode()
         lang = lang_of.indices.to_numpy().astype(np.int64)[doc]
         seed = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lang_of.dictionary.to_pylist()], np.uint64)
-        own = np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)[word]
+        own = _hashed(data, starts, ends)
         key = _mixed(own ^ seed[lang])
         since = allowed = np.zeros(len(key), np.uint8)
+        open_ = []
         for k in range(1, self.longest + 1):
-            n = len(word) - k + 1
+            n = len(starts) - k + 1
             if n <= 0:
-                return
+                break
             if k > 1:
                 key = _mixed(key[:n] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :])
                 # a part that is new at this step was found after the last one
                 since = np.maximum(allowed[:n], allowed[1 : n + 1])
                 since[piece[:n] != piece[k - 1 :]] = _NEVER
-            slot = (key >> self.shift).astype(np.int64)
+            slot = (key >> self.shift).astype(np.int32)
             allowed = self.since[slot]
-            at = np.flatnonzero((since <= self.step) & (self.step < since.astype(np.int64) + self.shards))
+            at = np.flatnonzero((since <= self.step) & (self.step < since.astype(np.int32) + self.shards))
             if len(at):
-                yield self._rows(at, k, key, slot, since, word, words, lang, lang_of.dictionary)
+                open_.append((k, at, key[at], slot[at], since[at]))
+        if not open_:
+            return
+        # only words of open phrases are read as such
+        used = np.zeros(len(starts), bool)
+        for k, at, *_ in open_:
+            for j in range(k):
+                used[at + j] = True
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[used]] += 1
+        edge[ends[used]] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        found, words = dictionary(data, inside, (ends - starts)[used])
+        word = np.zeros(len(starts), np.int32)
+        word[used] = found
+        del edge, inside, found, used
+        for k, at, key, slot, since in open_:
+            yield self._rows(at, k, key, slot, since, word, words, lang, lang_of.dictionary)
 
     def _rows(self, at, k, key, slot, since, word, words, lang, langs) -> pa.RecordBatch:
-        parts = [lang[at], *(word[at + j] for j in range(k))]
-        _, first, number, n = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
-        if any((p != p[first][number]).any() for p in parts):  # two phrases have one hash
-            _, first, n = np.unique(np.stack(parts), axis=1, return_index=True, return_counts=True)
+        """One row for each different phrase of the ``k`` words from ``at`` on, told apart by its words."""
+        _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if any((p != p[first][number]).any() for p in (lang[at], *(word[at + j] for j in range(k)))):  # two phrases have one hash
+            parts = np.stack([lang[at], *(word[at + j] for j in range(k))])
+            _, first, n = np.unique(parts, axis=1, return_index=True, return_counts=True)
         at = at[first]
         phrase = [words.take(pa.array(word[at + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.large_binary())) if k > 1 else phrase[0]
         cols = [
             langs.take(pa.array(lang[at])), pa.array(np.full(len(at), k, np.int32)), phrase.cast(pa.binary()).cast(pa.string()),
-            pa.array(slot[at].astype(np.int32)), pa.array(since[at].astype(np.int32)), pa.array(n.astype(np.int64)),
+            pa.array(slot[first].astype(np.int32)), pa.array(since[first].astype(np.int32)), pa.array(n.astype(np.int64)),
         ]
         return pa.RecordBatch.from_arrays(cols, ["lang", "k", "phrase", "slot", "begun", "n"])
 
@@ -100,7 +133,7 @@ def frequent_phrases(
     *,
     least: int = 100,
     longest: int = 5,
-    shards: int = 4,
+    shards: int = 2,
     slot_bits: int = 24,
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, k, phrase, f)`` of all phrases of 1 to ``longest`` words with ``f >= least``, and ``(lang, n)``: all words.
@@ -176,7 +209,7 @@ def collocations(
     longest: int = 5,
     top: int = 2000,
     share: int = 100,
-    shards: int = 4,
+    shards: int = 2,
     slot_bits: int = 24,
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` collocations of each language.

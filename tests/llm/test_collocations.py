@@ -94,5 +94,5 @@ def test_equal_hashes_are_told_apart():
 
     word, words = np.array([0, 1, 0, 1]), pa.array([b"a", b"b"], pa.large_binary())
     at, key, zero = np.arange(4), np.zeros(4, np.uint64), np.zeros(4, np.int64)
-    rows = step._rows(at, 1, key, zero, zero, word, words, zero, pa.array(["en"]))
+    rows = step._rows(at, 1, key, zero, zero, word, words, zero, pa.array(["en"]))  # all four have one hash
     assert sorted(zip(rows["phrase"].to_pylist(), rows["n"].to_pylist())) == [("a", 2), ("b", 2)]

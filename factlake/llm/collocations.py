@@ -22,7 +22,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_COUNTS = "lang string, k int, phrase string, slot int, begun int, n bigint"
+#: Of a phrase: its step, length and slot in one number, which is alike in all rows of the phrase.
+_COUNTS = "lang string, phrase string, about bigint, n bigint"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -119,11 +120,9 @@ class Counter:
         at = at[first]
         phrase = [words.take(pa.array(word[at + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.large_binary())) if k > 1 else phrase[0]
-        cols = [
-            langs.take(pa.array(lang[at])), pa.array(np.full(len(at), k, np.int32)), phrase.cast(pa.binary()).cast(pa.string()),
-            pa.array(slot[first].astype(np.int32)), pa.array(since[first].astype(np.int32)), pa.array(n.astype(np.int64)),
-        ]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "k", "phrase", "slot", "begun", "n"])
+        about = since[first].astype(np.int64) << 40 | k << 32 | slot[first].astype(np.int64)
+        cols = [langs.take(pa.array(lang[at])), phrase.cast(pa.binary()).cast(pa.string()), pa.array(about), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "about", "n"])
 
 
 def frequent_phrases(
@@ -138,25 +137,24 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, k, phrase, f)`` of all phrases of 1 to ``longest`` words with ``f >= least``, and ``(lang, n)``: all words.
 
-    The rows are dealt over ``shards`` tables.  Each step scans the next of them, round and round, and counts
+    The rows are dealt over ``shards`` by a hash of the text.  Each step scans the next shard, round and round, and counts
     phrases of all lengths that are open: words from the first step on, a longer phrase from the step
     after both its parts have reached ``least``.  After one full cycle a phrase's count is final; below ``least``
     it goes.  The scan ends a full cycle after the last phrase that reached ``least``.
 
     What the tasks know of the phrases so far is one byte for each of 2^``slot_bits`` slots, whatever the size of
-    the corpus; the driver collects numbers of slots only.  ``shards * longest`` is at most 250.
+    the corpus; the driver collects numbers of slots only.  ``docs`` is read in each step (up to ``shards * longest``, at
+    most 250): a costly plan should be written first.
     """
-    if shards * longest > 250:
-        raise ValueError("at most 250 steps")
+    if shards * longest > 250 or not 1 <= slot_bits <= 31:
+        raise ValueError("at most 250 steps and 2^31 slots")
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UND)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    dealt = rows.filter(F.octet_length("text") > 0).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    path = scratch.path("s")
-    dealt.write.partitionBy("shard").parquet(path)
-    table = spark.read.schema(dealt.schema).parquet(path)
+    rows = rows.filter(F.octet_length("text") > 0)
     since = np.full(1 << slot_bits, _NEVER, np.uint8)
-    empty = spark.createDataFrame([], f"{_COUNTS}, before bigint")
+    empty = spark.createDataFrame([], _COUNTS)
+    begun, k = F.shiftright("about", 40), F.shiftright("about", 32).bitwiseAND(255).cast("int")
     open_, open_path, final, totals = empty, None, [], None
     step = last = 0
     while step < last + shards:
@@ -168,31 +166,30 @@ def frequent_phrases(
                 for part in slices(batch, 1):
                     yield from counter.count(part.column(1), part.column(0))
 
-        found = table.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(scan, _COUNTS)
-        every = open_.withColumn("before", F.col("n")).unionByName(found.withColumn("before", F.lit(0).cast("bigint")))
-        sums = [F.max("slot").alias("slot"), F.max("begun").alias("begun"), F.sum("n").alias("n"), F.sum("before").alias("before")]
-        counts = scratch.save(every.groupBy("lang", "k", "phrase").agg(*sums), "c")
+        shard = rows.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == step % shards)
+        every = open_.unionByName(shard.mapInArrow(scan, _COUNTS))
+        counts = scratch.save(every.groupBy("lang", "phrase").agg(F.max("about").alias("about"), F.sum("n").alias("n")), "c")
         shared.destroy()
         if open_path:
             scratch.drop(open_path)
-        reached = counts.df.filter((F.col("n") >= least) & (F.col("before") < least) & (F.col("k") < longest))
-        slots = reached.select("slot").distinct().toArrow()["slot"].to_numpy()
+        reached = counts.df.filter((F.col("n") >= least) & (k < longest)).select(F.col("about").bitwiseAND((1 << 32) - 1).alias("slot"))
+        slots = reached.distinct().toArrow()["slot"].to_numpy()
         new = slots[since[slots] == _NEVER]
         step += 1
         if len(new):
             since = since.copy()
             since[new] = step
             last = step
-        ended = F.col("begun") + shards <= step
+        ended = begun + shards <= step
         if step == shards:
-            totals = scratch.save(counts.df.filter(F.col("k") == 1).groupBy("lang").agg(F.sum("n").alias("n")), "n").df
+            totals = scratch.save(counts.df.filter(k == 1).groupBy("lang").agg(F.sum("n").alias("n")), "n").df
         if step >= shards:
-            final.append(scratch.save(counts.df.filter(ended & (F.col("n") >= least)).select("lang", "k", "phrase", F.col("n").alias("f")), "f").path)
+            done = counts.df.filter(ended & (F.col("n") >= least)).select("lang", k.alias("k"), "phrase", F.col("n").alias("f"))
+            final.append(scratch.save(done, "f").path)
         open_, open_path = counts.df.filter(~ended), counts.path
     if open_path:
         scratch.drop(open_path)
-    scratch.drop(path)
-    like = empty.select("lang", "k", "phrase", F.col("n").alias("f"))
+    like = empty.select("lang", k.alias("k"), "phrase", F.col("n").alias("f"))
     return scratch.read(final, like), totals
 
 

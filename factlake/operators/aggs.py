@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.plans.skew import attach_group, global_row_number
+from factlake.plans.skew import attach_group, global_row_number, join_summary
 
 MAX_MASK_BITS = 63
 
@@ -25,7 +25,7 @@ def all_of_group(
     per_outer = F.max(grouped).alias("_any_group")
     with_outer = attach_group(df, outer, per_outer)
     keys = [*outer, group]
-    joined = with_outer.join(per_group.filter(grouped).drop("_seen"), keys, "left")
+    joined = join_summary(with_outer, per_group.filter(grouped).drop("_seen"), keys)
     value = F.when(~F.coalesce("_any_group", F.lit(False)), F.col(flag)).otherwise(
         F.coalesce("_all", F.lit(False))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged
 from factlake.plans.scratch import Scratch
+from factlake.plans.skew import attach_group
 
 _LANES = 4
 _HEX_PER_LANE = 15
@@ -82,8 +83,7 @@ def structural_classes(
         current, count = following, now
     else:
         raise NotConverged(f"structural classes: still splitting after {max_rounds} rounds")
-    reps = current.df.groupBy("colour").agg(F.min("id").alias("rep"))
-    return current.df.join(reps, ["colour"]).select("id", "rep", "colour")
+    return attach_group(current.df, ["colour"], F.min("id").alias("rep")).select("id", "rep", "colour")
 
 
 def same_name_classes(nodes: DataFrame, classes: DataFrame) -> DataFrame:

@@ -8,15 +8,19 @@ a table of their own because an isolated node has no edge.  Full closures are bu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.checks import assert_edges_closed
+from factlake.plans.contract import Contraction, contract_all, no_values
 from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, follow, grow, spread
-from factlake.plans.scratch import Scratch, Table
+from factlake.plans.scratch import Scratch
 from factlake.plans.skew import (
     attach_group,
     global_row_number,
+    join_summary,
     running_sum,
 )
 
@@ -63,32 +67,43 @@ def transitive_closure(
     edges: DataFrame,
     sources: DataFrame | None = None,
     *,
+    nodes: DataFrame | None = None,
     max_rounds: int = DEFAULT_MAX_ROUNDS,
 ) -> DataFrame:
     """Pairs ``(src, dst)`` joined by a path of at least one edge; ``(v, v)`` only on a cycle.
 
-    The result can be quadratic in the nodes: give ``sources(id)`` to bound it.
+    With ``nodes(id)`` every edge must end in one of them (``CheckFailed`` otherwise).  The closure is taken of the
+    components, which have no cycles, and expanded to their members at the end.  The result can be quadratic
+    in the nodes: give ``sources(id)`` to bound it.
     """
-    arcs = _stored(edges, "closure")
-    start = arcs
-    if sources is not None:
-        start = arcs.join(sources.select(F.col("id").alias("src")), "src", "left_semi")
-    return grow(
-        start.select("src", "dst"),
-        lambda delta: follow(delta, arcs, "dst"),
-        name="closure",
-        max_rounds=max_rounds,
-    )
+    if nodes is not None:
+        assert_edges_closed(edges, nodes)
+    scratch = Scratch(edges.sparkSession, "closure")
+    arcs = scratch.save(edges.select("src", "dst").distinct(), "e").df
+    ends = arcs.select(F.col("src").alias("id")).unionByName(arcs.select(F.col("dst").alias("id"))).distinct()
+    comp = scratch.save(strong_components(arcs, ends, max_rounds=max_rounds), "c").df
+    from_ = comp if sources is None else comp.join(sources.select(F.col("id").alias("node")), "node", "left_semi")
+    dag = scratch.save(condense(arcs, comp), "d").df
+    start = dag.join(from_.select(F.col("comp").alias("src")), "src", "left_semi").select("src", "dst")
+    pairs = grow(start, lambda delta: follow(delta, dag, "dst"), name="closure", max_rounds=max_rounds)
+    # a component reaches itself if it has a cycle: more than one member, or an edge from a node to itself
+    many = comp.filter("node <> comp").select("comp")
+    loops = arcs.filter("src = dst").select(F.col("src").alias("comp"))
+    cyclic = many.unionByName(loops).distinct().select(F.col("comp").alias("src"), F.col("comp").alias("dst"))
+    heads = from_.select(F.col("comp").alias("src"), F.col("node").alias("_from"))
+    tails = comp.select(F.col("comp").alias("dst"), F.col("node").alias("_to"))
+    every = pairs.unionByName(cyclic).join(heads, "src").join(tails, "dst")
+    return every.select(F.col("_from").alias("src"), F.col("_to").alias("dst"))
 
 
 def reflexive_closure(
     edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None
 ) -> DataFrame:
-    """The transitive closure and ``(v, v)`` for every node (every source when given)."""
+    """The transitive closure and ``(v, v)`` for every node (every source when given); edges end in ``nodes``."""
     own = (nodes if sources is None else sources).select(
         F.col("id").alias("src"), F.col("id").alias("dst")
     )
-    return transitive_closure(edges, sources).unionByName(own).distinct()
+    return transitive_closure(edges, sources, nodes=nodes).unionByName(own).distinct()
 
 
 def strong_components(
@@ -96,79 +111,56 @@ def strong_components(
 ) -> DataFrame:
     """``(node, comp)`` with ``comp`` the smallest member; singletons included.
 
-    Edges that cannot lie on a cycle are trimmed first: nothing enters their source or nothing
-    leaves their target.  Then each node takes the largest id that reaches it, and the nodes of one
-    colour that reach back to the node the colour is named after are one component.  What is left
-    inside a colour goes round again; edges between colours are never part of a component.
+    Edges that cannot lie on a cycle are trimmed: nothing enters their source or nothing leaves their target.
+    Chains are contracted to single edges (``plans.contract``), so a long path or ring takes few rounds.  Then
+    each node takes the largest id that reaches it and the largest that it reaches: where both are the
+    same, the node is in the component of that id.  Edges between nodes that differ in either are never
+    part of a component; what is left goes round again.  Inner nodes of a chain are in the component of its
+    ends if these are in one.
     """
     scratch = Scratch(edges.sparkSession, "scc")
     arcs = scratch.save(
-        edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "e"
+        edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct().withColumn("steps", F.lit(1).cast("bigint")), "e"
     )
-    found: list[str] = []
-    like = nodes.select(F.col("id").alias("node"), F.col("id").alias("comp"))
+    none = no_values(nodes)
+    passes: list[Contraction] = []
+    ids = nodes.select(F.col("id").alias("node"), F.col("id").alias("comp"))
+    found = [ids.limit(0)]
     for _ in range(max_rounds):
-        arcs = _trimmed(scratch, arcs, max_rounds)
+        arcs = scratch.save(_trimmed(_trimmed(arcs.df)), "e")
+        arcs, _, contracted = contract_all(scratch, arcs, none)
+        passes += contracted
+        found += [c.rings.select(F.col("id").alias("node"), F.col("least").alias("comp")) for c in contracted]
         if not arcs.rows:
             break
-        ids = arcs.df.select(F.col("src").alias("id")).distinct()
-        own = ids.select("id", F.col("id").alias("colour"))
-        colours = spread(own, arcs.df, [], ["colour"], name="colour", max_rounds=max_rounds)
-        inside = scratch.save(
-            arcs.df.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("_a")), "src")
-            .join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("_b")), "dst")
-            .filter("_a = _b")
-            .select("src", "dst"),
-            "e",
-        )
-        roots = colours.filter("id = colour").select("id")
-        members = _reach(swap(inside.df), roots, max_rounds)
-        confirmed = scratch.save(
-            colours.join(members, "id", "left_semi").select(
-                F.col("id").alias("node"), F.col("colour").alias("comp")
-            ),
-            "f",
-        )
-        found.append(confirmed.path)
-        gone = confirmed.df
-        rest = inside.df.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(
-            gone.select(F.col("node").alias("dst")), "dst", "left_anti"
-        )
-        arcs = scratch.save(rest.select("src", "dst"), "e")
+        own = arcs.df.select(F.col("src").alias("id")).unionByName(arcs.df.select(F.col("dst").alias("id"))).distinct()
+        own = own.select("id", F.col("id").alias("above"), F.col("id").alias("below"))
+        colours = spread(own, arcs.df, [], ["above", "below"], back=["below"], name="colour", max_rounds=max_rounds)
+        found.append(colours.filter("above = below").select(F.col("id").alias("node"), F.col("above").alias("comp")))
+        open_ = colours.filter("above <> below")
+        src, dst = (open_.select(F.col("id").alias(c), "above", "below") for c in ("src", "dst"))
+        arcs = scratch.save(arcs.df.join(src, "src").join(dst, ["dst", "above", "below"]).select("src", "dst", "steps"), "e")
     if arcs.rows:
         raise NotConverged(f"strong components: edges left after {max_rounds} rounds")
-    if not found:
-        return like.distinct()
+    label = reduce(DataFrame.unionByName, found)
+    for c in reversed(passes):
+        label = scratch.put(label, "l").df
+        head = label.select(F.col("node").alias("head"), F.col("comp").alias("_head"))
+        tail = label.select(F.col("node").alias("tail"), F.col("comp").alias("_tail"))
+        ends = c.inner.select("id", "tail", "last").join(c.heads, "last").join(head, "head", "left").join(tail, "tail", "left")
+        ends = ends.select("id", F.coalesce("_head", "head").alias("_a"), F.coalesce("_tail", "tail").alias("_b"))
+        label = label.unionByName(ends.filter("_a = _b").select(F.col("id").alias("node"), F.col("_a").alias("comp")))
     # members of a cycle get their smallest member, everything else is alone
-    least = attach_group(scratch.read(found, like), ["comp"], F.min("node").alias("least"))
-    labels = least.select("node", F.col("least").alias("_comp"))
-    return (
-        nodes.select(F.col("id").alias("node"))
-        .distinct()
-        .join(labels, "node", "left")
-        .select("node", F.coalesce("_comp", "node").alias("comp"))
-    )
+    label = label.select("node", F.col("comp").alias("_comp"))
+    every = nodes.select(F.col("id").alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("_comp", "node").alias("_comp"))
+    return attach_group(scratch.put(every, "r").df, ["_comp"], F.min("node").alias("comp")).select("node", "comp")
 
 
-def _trimmed(scratch: Scratch, arcs: Table, max_rounds: int) -> Table:
-    """Edges whose source is entered and whose target is left, over and over."""
-
-    def once(df: DataFrame) -> DataFrame:
-        entered = df.select(F.col("dst").alias("src"))
-        left = df.select(F.col("src").alias("dst"))
-        kept = df.join(entered, "src", "left_semi").join(left, "dst", "left_semi")
-        return kept.select("src", "dst")
-
-    for _ in range(max_rounds):
-        if not arcs.rows:
-            return arcs
-        # a second pass in the same plan saves a round
-        fewer = scratch.save(once(once(arcs.df)), "e")
-        scratch.drop(arcs.path)
-        if fewer.rows == arcs.rows:
-            return fewer
-        arcs = fewer
-    raise NotConverged(f"strong components: still trimming after {max_rounds} rounds")
+def _trimmed(arcs: DataFrame) -> DataFrame:
+    """Edges whose source is entered and whose target is left."""
+    entered = arcs.select(F.col("dst").alias("src"))
+    left = arcs.select(F.col("src").alias("dst"))
+    return arcs.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst", "steps")
 
 
 def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,10 +186,25 @@ def condense(edges: DataFrame, comp: DataFrame) -> DataFrame:
 def sink_levels(
     comp_edges: DataFrame, nodes: DataFrame, *, max_rounds: int = DEFAULT_MAX_ROUNDS
 ) -> DataFrame:
-    """``(id, level)``: the longest distance to a node without successors.  Needs an acyclic graph."""
-    arcs = _stored(swap(comp_edges), "levels")
-    start = nodes.select("id", F.lit(0).cast("bigint").alias("level")).distinct()
-    return spread(start, arcs, [], ["level"], name="levels", add=1, max_rounds=max_rounds)
+    """``(id, level)``: the longest distance to a node without successors.  Needs an acyclic graph.
+
+    Chains are contracted first; their nodes have the level of the chain's end and their distance to it.
+    """
+    scratch = Scratch(comp_edges.sparkSession, "levels")
+    once = comp_edges.select("src", "dst").distinct().withColumn("steps", F.lit(1).cast("bigint"))
+    arcs, _, passes = contract_all(scratch, scratch.save(once, "e"), no_values(nodes))
+    ids = nodes.select("id").distinct()
+    for c in passes:
+        if not c.rings.isEmpty():
+            raise ValueError("levels need a graph without cycles")
+        ids = ids.join(c.inner.select("id"), "id", "left_anti")
+    start = ids.withColumn("level", F.lit(0).cast("bigint"))
+    back = arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "steps")
+    levels = spread(start, back, [], ["level"], name="levels", add="steps", max_rounds=max_rounds)
+    for c in reversed(passes):
+        ends = c.inner.select("id", F.col("tail"), "steps").join(levels.select(F.col("id").alias("tail"), "level"), "tail")
+        levels = scratch.put(levels.unionByName(ends.select("id", (F.col("level") + F.col("steps")).alias("level"))), "l").df
+    return levels
 
 
 def post_order(
@@ -250,14 +257,14 @@ def _large_star(pairs: DataFrame) -> DataFrame:
         pairs.select(F.col("low").alias("u"), F.col("high").alias("v"))
     )
     least = ends.groupBy(F.col("u").alias("low")).agg(F.min("v").alias("_m"))
-    joined = pairs.join(least, ["low"])
+    joined = join_summary(pairs, least, ["low"], "inner")
     return joined.select("high", F.least("low", "_m").alias("low")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     least = pairs.groupBy("high").agg(F.min("low").alias("_m"))
-    joined = pairs.join(least, ["high"])
+    joined = join_summary(pairs, least, ["high"], "inner")
     moved = joined.filter("low <> _m").select(F.col("low").alias("high"), F.col("_m").alias("low"))
     return moved.unionByName(least.select("high", F.col("_m").alias("low"))).distinct()
 
@@ -424,12 +431,24 @@ def reach_summary(
     """``(id, state, value)``: the meet of the labels on a node and on all it reaches.
 
     No label gives ``top``, one distinct label ``elem``, several ``bottom``.  Only the smallest and
-    the largest label travel, so the state is two values for each node however many labels exist.
+    the largest label travel, so the state is two values for each node however many labels exist; chains are
+    contracted first, with the extremes of what stands on them.
     """
-    arcs = _stored(swap(edges), "summary")
-    own = labels.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    start = nodes.select("id").distinct().join(own, "id", "left")
-    final = spread(start, arcs, ["lo"], ["hi"], name="summary", max_rounds=max_rounds)
+    scratch = Scratch(edges.sparkSession, "summary")
+    own = scratch.put(labels.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "o").df
+    once = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("steps", F.lit(1).cast("bigint"))
+    arcs, own, passes = contract_all(scratch, scratch.save(once, "e"), own)
+    ids = nodes.select("id").distinct()
+    # what stands on chains and rings takes its value from their ends at last
+    for c in passes:
+        ids = ids.join(c.inner.select("id").unionByName(c.rings.select("id")), "id", "left_anti")
+    final = spread(ids.join(own, "id", "left"), swap(arcs.df), ["lo"], ["hi"], name="summary", max_rounds=max_rounds)
+    for c in reversed(passes):
+        ends = c.inner.join(final.select(F.col("id").alias("tail"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "tail", "left")
+        ends = ends.select("id", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
+        final = scratch.put(final.unionByName(ends).unionByName(c.rings.select("id", "lo", "hi")), "f").df
+    # edges may end in nodes that are not asked for
+    final = final.join(nodes.select("id").distinct(), "id", "left_semi")
     state = F.when(F.col("lo").isNull(), "top").when(F.col("lo") == F.col("hi"), "elem")
     return final.select(
         "id",

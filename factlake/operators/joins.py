@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.checks import CheckFailed
-from factlake.plans.skew import next_value, previous_value
+from factlake.plans.skew import join_summary, next_value, previous_value
 
 
 def _one_each(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -36,7 +36,7 @@ def resolve_refs(
         F.countDistinct(def_id).alias("_n"), F.min(def_id).alias("_only")
     )
     chosen = _one_each(hints, hint_key, "target").withColumnRenamed("target", "_hint")
-    joined = refs.join(candidates, match_cols, "left").join(chosen, hint_key, "left")
+    joined = join_summary(join_summary(refs, candidates, match_cols), chosen, [hint_key])
     count = F.coalesce("_n", F.lit(0))
     status = F.when(F.col("_hint").isNotNull(), "hint").when(count == 1, "unique")
     return joined.select(
@@ -58,41 +58,34 @@ def overlapping_ranges(ranges: DataFrame) -> DataFrame:
 
     Neighbours in sort order are enough: if any two ranges meet, some neighbours do.
     """
-    width = F.lit(0)
+    known = ranges.filter(F.col("root").isNotNull() & F.col("end").isNotNull())
     ordered = next_value(
-        ranges.select("root", "end", width.alias("_all")), ["_all"], ["root", "end"], F.col("root"), "_next"
+        known.select("root", "end", F.lit(0).alias("_all")), ["_all"], ["root", "end"], F.col("root"), "_next"
     )
     return ordered.filter(F.col("_next") <= F.col("end")).select("root", "end")
 
 
-def range_lookup(
-    points: DataFrame, ranges: DataFrame, *, point: str, width: int, check: bool = True
-) -> DataFrame:
+def range_lookup(points: DataFrame, ranges: DataFrame, *, point: str, check: bool = True) -> DataFrame:
     """Each point with the range ``[root, end]`` that holds it and its ``offset``.
 
-    A point in no range keeps null ``root``.  Ranges are cut at multiples of ``width`` and both
-    sides meet on the cell, which makes an equi join of the range condition; choose ``width`` near
-    the usual range length, so that a range covers few cells.  Ranges must be disjoint.
+    A point in no range keeps null ``root``.  Ranges must be disjoint, so only the one that begins last at or
+    before a point can hold it: ranges and points are swept together in one order, in slices of it.  A
+    range is one row whatever its length.  Null points and ranges with null ends match nothing.
     """
     if check and not overlapping_ranges(ranges).isEmpty():
         raise CheckFailed("ranges overlap")
-    size = F.lit(width)
-    cells = ranges.select(
-        "root",
-        "end",
-        F.explode(F.sequence(F.floor(F.col("root") / size), F.floor(F.col("end") / size))).alias(
-            "_cell"
-        ),
-    )
-    placed = points.withColumn("_cell", F.floor(F.col(point) / size))
-    inside = (F.col(point) >= F.col("root")) & (F.col(point) <= F.col("end"))
-    joined = placed.join(
-        cells, (placed["_cell"] == cells["_cell"]) & inside, "left"
+    kept = [F.struct(*[F.col(c) for c in points.columns]).alias("_row")]
+    begin = ranges.filter(F.col("root").isNotNull() & F.col("end").isNotNull()).select(
+        F.lit(0).alias("_all"), F.col("root").alias("_at"), F.lit(0).alias("_is_point"), F.struct("root", "end").alias("_range")
     )
-    return joined.select(
-        *[placed[c] for c in points.columns],
-        "root",
-        (placed[point] - F.col("root")).alias("offset"),
+    asked = points.select(F.lit(0).alias("_all"), F.col(point).alias("_at"), F.lit(1).alias("_is_point"), *kept)
+    swept = previous_value(
+        begin.unionByName(asked, allowMissingColumns=True), ["_all"], ["_at", "_is_point"], F.col("_range"), "_found"
+    ).filter(F.col("_is_point") == 1)
+    inside = F.col("_at") <= F.col("_found.end")
+    root = F.when(inside, F.col("_found.root"))
+    return swept.select(
+        *[F.col("_row")[c].alias(c) for c in points.columns], root.alias("root"), (F.col("_at") - root).alias("offset")
     )
 
 
@@ -128,7 +121,7 @@ def overlapping_members(
         F.min(F.when(unsized, F.col("_lo"))).alias("_un_lo"),
         F.max(F.when(unsized, F.col("_hi"))).alias("_un_hi"),
     )
-    rows = keyed.join(by_size.join(per_cell, cell), [*cell, "_s"])
+    rows = join_summary(keyed, by_size.join(per_cell, cell), [*cell, "_s"], "inner")
 
     def other(lo: str, hi: str) -> Column:
         """Whether someone else is among the owners whose least and largest these are."""

@@ -56,6 +56,12 @@ class Scratch:
         # counted from the Parquet footers: no column is read
         return Table(back, path, back.count())
 
+    def put(self, df: DataFrame, label: str = "t") -> Table:
+        """As ``save``, but the rows are not counted (-1)."""
+        path = self.path(label)
+        df.write.parquet(path)
+        return Table(self.spark.read.schema(df.schema).parquet(path), path, -1)
+
     def read(self, paths: list[str], like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(*paths)
 

@@ -1,12 +1,16 @@
 """Group-wise work that stays even when one group holds a large share of all rows.
 
-Aggregates combine on the map side and joins are split by AQE (set
-``spark.sql.adaptive.forceOptimizeSkewedJoin`` where a split needs another shuffle), but a plain window
-sends a whole group to one task.  Here windows run inside slices: the rows are range partitioned on
-(group, order) and written once, as the borders of the ranges are sampled.  Only a group that crosses a
-border needs anything from another slice, and such a group is the first or the last of its slice: the
-carry table has at most two rows for each slice, whatever the sizes of table and groups, and is
-therefore safe to broadcast.
+Aggregates combine on the map side.  They are joined back on the key as a struct: an aggregate is already
+dealt by its key, and a join that uses that dealing is one stage with the aggregate, which AQE never splits; the
+struct makes both sides plain exchanges, so AQE splits a hot key (set
+``spark.sql.adaptive.forceOptimizeSkewedJoin`` where a split needs another shuffle).
+
+A plain window sends a whole group to one task.  Here windows run inside slices: borders are taken from a bounded
+sample of the keys, and the slice of a row is an expression of its (group, order) and these literals.  Only
+groups in which a border lies stand in several slices, so the carry table, which says what came before a
+slice, has two rows for each border at most, whatever the sizes of table and groups, and is safe to broadcast.
+The table is read three times (sample, carry, window) and shuffled once: a costly plan, or one that gives
+other rows each time, should be written first.
 """
 
 from __future__ import annotations
@@ -19,18 +23,62 @@ from pyspark.sql import functions as F
 
 from factlake.plans.scratch import Scratch
 
+#: Rows of the sample for each slice.
+_SAMPLED = 20
+
 
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     """Null-safe equality on ``columns``."""
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
+def join_summary(df: DataFrame, summary: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``df`` with the columns of ``summary``, an aggregate by ``on``; null keys match nothing.  A hot key can be split."""
+    for c in on:
+        summary = summary.filter(F.col(c).isNotNull())
+    rest = [c for c in summary.columns if c not in on]
+    keyed = summary.select(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(on)]).alias("_key"), *rest)
+    key = F.struct(*[df[c].alias(f"_{i}") for i, c in enumerate(on)])
+    return df.join(keyed, key == keyed["_key"], how).drop("_key")
+
+
 def attach_group(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
     """Add group aggregates to every row: combined on the map side, then joined back.
 
     Rows whose key is null get null aggregates.
     """
-    return df.join(df.groupBy(*by).agg(*aggregates), by, "left")
+    return join_summary(df, df.groupBy(*by).agg(*aggregates), by)
+
+
+def _borders(df: DataFrame, columns: list[str]) -> list:
+    """Rows of a bounded random sample that cut the table into about as many ranges as a shuffle has partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*columns)
+    some = keys.orderBy(F.rand(17)).limit(_SAMPLED * n).orderBy(*columns).collect()
+    every = max(1, len(some) // n)
+    return some[every::every]
+
+
+def _literals(df: DataFrame, columns: list[str], found: list) -> Column:
+    types = [df.schema[c].dataType for c in columns]
+    return F.array(*[F.struct(*[F.lit(row[c]).cast(t).alias(c) for c, t in zip(columns, types)]) for row in found])
+
+
+def _place(df: DataFrame, columns: list[str], borders: list) -> Column:
+    """How many of the sorted ``borders`` are at or before a row: found by halving, so by few comparisons."""
+    if not borders:
+        return F.lit(0)
+    table, key = _literals(df, columns, borders), F.struct(*[F.col(c) for c in columns])
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        # beyond the last border there is nothing to compare with
+        above = F.coalesce(F.get(table, middle) <= key, F.lit(False))
+        return F.struct(F.when(above, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(middle).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
+    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
 
 
 @dataclass(frozen=True)
@@ -38,17 +86,19 @@ class Sliced:
     df: DataFrame
     by: list[str]
     order: list[str]
+    borders: list
 
     @property
     def window(self):
         return Window.partitionBy(*self.by, "_slice").orderBy(*self.order)
 
     def summary(self, *aggregates: Column) -> DataFrame:
-        """One row for the first and the last group of each slice, in slice order by ``_slice``."""
-        group = F.struct(*self.by)
-        ends = self.df.groupBy("_slice").agg(F.min(group).alias("_first"), F.max(group).alias("_last"))
-        at_end = group.eqNullSafe(F.col("_first")) | group.eqNullSafe(F.col("_last"))
-        rows = self.df.join(F.broadcast(ends), "_slice").filter(at_end)
+        """One row for each slice of the groups in which a border lies."""
+        groups = [b for i, b in enumerate(self.borders) if not i or any(b[c] != self.borders[i - 1][c] for c in self.by)]
+        if not groups:
+            return self.df.limit(0).groupBy(*self.by, "_slice").agg(*aggregates)
+        nearest = F.get(_literals(self.df, self.by, groups), _place(self.df, self.by, groups) - 1)
+        rows = self.df.filter(nearest == F.struct(*[F.col(c) for c in self.by]))
         return rows.groupBy(*self.by, "_slice").agg(*aggregates)
 
     def across(self):
@@ -66,8 +116,9 @@ class Sliced:
 
 def slice_groups(df: DataFrame, by: list[str], order: list[str]) -> Sliced:
     """Cut the table into ranges of (group, order); ``_slice`` numbers them."""
-    ranged = df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id())
-    return Sliced(Scratch(df.sparkSession, "slices").save(ranged, "h").df, by, order)
+    columns = list(dict.fromkeys([*by, *order]))
+    borders = _borders(df, columns)
+    return Sliced(df.withColumn("_slice", _place(df, columns, borders)), by, order, borders)
 
 
 def running_sum(
@@ -114,20 +165,24 @@ def next_value(df: DataFrame, by: list[str], order: list[str], value: Column, ou
 def global_running_sum(df: DataFrame, order: list[Column | str], value: Column, out: str) -> DataFrame:
     """Exclusive running total over the whole table in ``order``, without a one-task window.
 
-    Rows are range partitioned and written once; the carry table has one row per partition.
+    Columns are ordered by borders as above; for other sort expressions the rows are range partitioned and written
+    once.  The carry table has one row for each range.
     """
     sort = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id())
-    stored = Scratch(df.sparkSession, "ranges").save(ranged, "r").df
+    if all(isinstance(c, str) for c in order):
+        ranges = df.withColumn("_part", _place(df, order, _borders(df, order)))
+    else:
+        ranged = df.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id())
+        ranges = Scratch(df.sparkSession, "ranges").save(ranged, "r").df
     before = Window.partitionBy("_part").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
-    totals = stored.groupBy("_part").agg(F.sum(value).alias("_v"))
+    totals = ranges.groupBy("_part").agg(F.sum(value).alias("_v"))
     earlier = (
         Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select("_part", F.sum("_v").over(earlier).alias("_c"))
     zero = F.lit(0)
     return (
-        stored.withColumn(out, F.coalesce(F.sum(value).over(before), zero))
+        ranges.withColumn(out, F.coalesce(F.sum(value).over(before), zero))
         .join(F.broadcast(offsets), "_part", "left")
         .withColumn(out, F.col(out) + F.coalesce("_c", zero))
         .drop("_c", "_part")

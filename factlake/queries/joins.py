@@ -72,7 +72,7 @@ def j3(t):
 def j4(t):
     root = F.col("s_suppkey") * 150
     ranges = t.supplier.select(root.alias("root"), (root + 99).alias("end"))
-    return op.range_lookup(t.orders.select("o_orderkey"), ranges, point="o_orderkey", width=100)
+    return op.range_lookup(t.orders.select("o_orderkey"), ranges, point="o_orderkey")
 
 
 _BASKETS = """WITH m AS (SELECT DISTINCT s_nationkey::BIGINT AS grp, l_suppkey AS owner, l_partkey AS elem,

@@ -89,12 +89,23 @@ def test_resolve_refs(spark):
 def test_range_lookup(spark):
     ranges = table(spark, [(0, 4), (10, 10), (11, 35)], "root bigint, end bigint")
     points = table(spark, [(i,) for i in range(-2, 40)], "p bigint")
-    for width in (1, 7, 100):
-        got = {r["p"]: (r["root"], r["offset"]) for r in joins.range_lookup(points, ranges, point="p", width=width).collect()}
-        want = {p: next(((a, p - a) for a, b in [(0, 4), (10, 10), (11, 35)] if a <= p <= b), (None, None)) for p in range(-2, 40)}
-        assert got == want
+    got = {r["p"]: (r["root"], r["offset"]) for r in joins.range_lookup(points, ranges, point="p").collect()}
+    want = {p: next(((a, p - a) for a, b in [(0, 4), (10, 10), (11, 35)] if a <= p <= b), (None, None)) for p in range(-2, 40)}
+    assert got == want
     with pytest.raises(checks.CheckFailed):
-        joins.range_lookup(points, table(spark, [(0, 5), (5, 9)], "root bigint, end bigint"), point="p", width=4)
+        joins.range_lookup(points, table(spark, [(0, 5), (5, 9)], "root bigint, end bigint"), point="p")
+
+
+def test_range_lookup_of_long_ranges_and_nulls(spark, hot):
+    ranges = table(spark, [(0, 10**15), (None, 5), (10**15 + 1, None), (10**16, 10**16 + 2)], "root bigint, end bigint")
+    points = spark.range(0, 10**16, 10**13).selectExpr("id AS p", "'x' AS root_", "id % 7 AS _at").unionByName(
+        table(spark, [(None, "n", 1), (10**16 + 2, "l", 1), (10**16 + 3, "b", 1)], "p bigint, root_ string, _at bigint")
+    )
+    got = joins.range_lookup(points, ranges, point="p").collect()
+    assert len(got) == 1003
+    for r in got:
+        want = None if r.p is None else 0 if r.p <= 10**15 else 10**16 if 10**16 <= r.p <= 10**16 + 2 else None
+        assert (r.root, r.offset) == (want, None if want is None else r.p - want)
 
 
 @pytest.mark.parametrize("sized", [False, True])

@@ -25,6 +25,10 @@ from factlake.plans.skew import (
 )
 
 
+#: Rounds in which a shallow graph is done; only a deeper one is worth contracting.
+_SHALLOW = 4
+
+
 def _stored(edges: DataFrame, name: str) -> DataFrame:
     """Distinct edges, written once so that no round computes them again."""
     distinct = edges.select("src", "dst").distinct()
@@ -111,12 +115,12 @@ def strong_components(
 ) -> DataFrame:
     """``(node, comp)`` with ``comp`` the smallest member; singletons included.
 
-    Edges that cannot lie on a cycle are trimmed: nothing enters their source or nothing leaves their target.
-    Chains are contracted to single edges (``plans.contract``), so a long path or ring takes few rounds.  Then
+    Edges that cannot lie on a cycle are trimmed: nothing enters their source or nothing leaves their target.  Then
     each node takes the largest id that reaches it and the largest that it reaches: where both are the
     same, the node is in the component of that id.  Edges between nodes that differ in either are never
-    part of a component; what is left goes round again.  Inner nodes of a chain are in the component of its
-    ends if these are in one.
+    part of a component; what is left goes round again.  Where that takes more than a few rounds, chains are
+    first contracted to single edges (``plans.contract``), so a long path or ring takes few; inner nodes of a
+    chain are in the component of its ends if these are in one.
     """
     scratch = Scratch(edges.sparkSession, "scc")
     arcs = scratch.save(
@@ -127,15 +131,21 @@ def strong_components(
     ids = nodes.select(F.col("id").alias("node"), F.col("id").alias("comp"))
     found = [ids.limit(0)]
     for _ in range(max_rounds):
-        arcs = scratch.save(_trimmed(_trimmed(arcs.df)), "e")
-        arcs, _, contracted = contract_all(scratch, arcs, none)
-        passes += contracted
-        found += [c.rings.select(F.col("id").alias("node"), F.col("least").alias("comp")) for c in contracted]
+        before = None
+        # as long as it takes off a tenth
+        while arcs.rows and (before is None or 10 * arcs.rows < 9 * before):
+            before, arcs = arcs.rows, scratch.save(_trimmed(_trimmed(arcs.df)), "e")
         if not arcs.rows:
             break
-        own = arcs.df.select(F.col("src").alias("id")).unionByName(arcs.df.select(F.col("dst").alias("id"))).distinct()
-        own = own.select("id", F.col("id").alias("above"), F.col("id").alias("below"))
-        colours = spread(own, arcs.df, [], ["above", "below"], back=["below"], name="colour", max_rounds=max_rounds)
+        try:
+            colours = _colours(arcs.df, min(_SHALLOW, max_rounds))
+        except NotConverged:
+            arcs, _, contracted = contract_all(scratch, arcs, none)
+            passes += contracted
+            found += [c.rings.select(F.col("id").alias("node"), F.col("least").alias("comp")) for c in contracted]
+            if not arcs.rows:
+                break
+            colours = _colours(arcs.df, max_rounds)
         found.append(colours.filter("above = below").select(F.col("id").alias("node"), F.col("above").alias("comp")))
         open_ = colours.filter("above <> below")
         src, dst = (open_.select(F.col("id").alias(c), "above", "below") for c in ("src", "dst"))
@@ -156,6 +166,13 @@ def strong_components(
     return attach_group(scratch.put(every, "r").df, ["_comp"], F.min("node").alias("comp")).select("node", "comp")
 
 
+def _colours(arcs: DataFrame, max_rounds: int) -> DataFrame:
+    """``(id, above, below)``: the largest id that reaches each node and the largest that it reaches."""
+    ids = arcs.select(F.col("src").alias("id")).unionByName(arcs.select(F.col("dst").alias("id"))).distinct()
+    own = ids.select("id", F.col("id").alias("above"), F.col("id").alias("below"))
+    return spread(own, arcs, [], ["above", "below"], back=["below"], name="colour", max_rounds=max_rounds)
+
+
 def _trimmed(arcs: DataFrame) -> DataFrame:
     """Edges whose source is entered and whose target is left."""
     entered = arcs.select(F.col("dst").alias("src"))
@@ -188,25 +205,32 @@ def sink_levels(
 ) -> DataFrame:
     """``(id, level)``: the longest distance to a node without successors.  Needs an acyclic graph.
 
-    Chains are contracted first; their nodes have the level of the chain's end and their distance to it.
+    In a deep graph chains are contracted first; their nodes have the level of the chain's end and their distance to it.
     """
     scratch = Scratch(comp_edges.sparkSession, "levels")
-    once = comp_edges.select("src", "dst").distinct().withColumn("steps", F.lit(1).cast("bigint"))
-    arcs, _, passes = contract_all(scratch, scratch.save(once, "e"), no_values(nodes))
+    once = scratch.save(comp_edges.select("src", "dst").distinct().withColumn("steps", F.lit(1).cast("bigint")), "e")
     ids = nodes.select("id").distinct()
+    try:
+        return _levels(ids, once.df, min(_SHALLOW, max_rounds))
+    except NotConverged:
+        arcs, _, passes = contract_all(scratch, once, no_values(nodes))
     for c in passes:
         if not c.rings.isEmpty():
             raise ValueError("levels need a graph without cycles")
         ids = ids.join(c.inner.select("id"), "id", "left_anti")
-    start = ids.withColumn("level", F.lit(0).cast("bigint"))
-    back = arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "steps")
-    levels = spread(start, back, [], ["level"], name="levels", add="steps", max_rounds=max_rounds)
+    levels = _levels(ids, arcs.df, max_rounds)
     for c in reversed(passes):
         ends = c.inner.select("id", F.col("tail"), "steps").join(levels.select(F.col("id").alias("tail"), "level"), "tail")
         levels = scratch.put(levels.unionByName(ends.select("id", (F.col("level") + F.col("steps")).alias("level"))), "l").df
     return levels
 
 
+def _levels(ids: DataFrame, arcs: DataFrame, max_rounds: int) -> DataFrame:
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "steps")
+    start = ids.withColumn("level", F.lit(0).cast("bigint"))
+    return spread(start, back, [], ["level"], name="levels", add="steps", max_rounds=max_rounds)
+
+
 def post_order(
     comp_edges: DataFrame, nodes: DataFrame, *, max_rounds: int = DEFAULT_MAX_ROUNDS
 ) -> DataFrame:
@@ -431,22 +455,30 @@ def reach_summary(
     """``(id, state, value)``: the meet of the labels on a node and on all it reaches.
 
     No label gives ``top``, one distinct label ``elem``, several ``bottom``.  Only the smallest and
-    the largest label travel, so the state is two values for each node however many labels exist; chains are
-    contracted first, with the extremes of what stands on them.
+    the largest label travel, so the state is two values for each node however many labels exist; in a deep
+    graph chains are contracted first, with the extremes of what stands on them.
     """
     scratch = Scratch(edges.sparkSession, "summary")
     own = scratch.put(labels.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "o").df
     once = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("steps", F.lit(1).cast("bigint"))
-    arcs, own, passes = contract_all(scratch, scratch.save(once, "e"), own)
+    once = scratch.save(once, "e")
     ids = nodes.select("id").distinct()
-    # what stands on chains and rings takes its value from their ends at last
-    for c in passes:
-        ids = ids.join(c.inner.select("id").unionByName(c.rings.select("id")), "id", "left_anti")
-    final = spread(ids.join(own, "id", "left"), swap(arcs.df), ["lo"], ["hi"], name="summary", max_rounds=max_rounds)
-    for c in reversed(passes):
-        ends = c.inner.join(final.select(F.col("id").alias("tail"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "tail", "left")
-        ends = ends.select("id", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
-        final = scratch.put(final.unionByName(ends).unionByName(c.rings.select("id", "lo", "hi")), "f").df
+
+    def solve(ids: DataFrame, own: DataFrame, arcs: DataFrame, rounds: int) -> DataFrame:
+        return spread(ids.join(own, "id", "left"), swap(arcs), ["lo"], ["hi"], name="summary", max_rounds=rounds)
+
+    try:
+        final = solve(ids, own, once.df, min(_SHALLOW, max_rounds))
+    except NotConverged:
+        arcs, own, passes = contract_all(scratch, once, own)
+        # what stands on chains and rings takes its value from their ends at last
+        for c in passes:
+            ids = ids.join(c.inner.select("id").unionByName(c.rings.select("id")), "id", "left_anti")
+        final = solve(ids, own, arcs.df, max_rounds)
+        for c in reversed(passes):
+            ends = c.inner.join(final.select(F.col("id").alias("tail"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "tail", "left")
+            ends = ends.select("id", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
+            final = scratch.put(final.unionByName(ends).unionByName(c.rings.select("id", "lo", "hi")), "f").df
     # edges may end in nodes that are not asked for
     final = final.join(nodes.select("id").distinct(), "id", "left_semi")
     state = F.when(F.col("lo").isNull(), "top").when(F.col("lo") == F.col("hi"), "elem")

@@ -13,7 +13,7 @@ from factlake.plans.scratch import Scratch, Table
 DEFAULT_MAX_ROUNDS = 10_000
 _COMPACT_AFTER = 12
 #: Steps that one plan takes.
-_HOPS = 3
+_HOPS = 2
 #: A state of up to so many rows is joined as it is; a larger one is first cut down to what a round may change.
 _DIRECT_ROWS = 1 << 21
 

@@ -89,9 +89,13 @@ def bit(index: Column) -> Column:
 
 
 def full_mask(width: int) -> Column:
-    """All members below ``width``; at 63 that is every usable bit."""
-    if not 0 <= width <= MAX_MASK_BITS:
-        raise ValueError(f"a mask holds at most {MAX_MASK_BITS} members")
+    """All members below ``width``: a long up to 63 members, beyond that a wide mask."""
+    if width < 0:
+        raise ValueError("a mask has no negative width")
+    if width > MAX_MASK_BITS:
+        ones = [(1 << min(64, width - i)) - 1 for i in range(0, width, 64)]
+        # the sign bit is a member like any other
+        return F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("bigint") for w in ones])
     return F.lit((1 << width) - 1).cast("bigint")
 
 
@@ -117,6 +121,57 @@ def mask_superset(a: Column, b: Column) -> Column:
     return a.bitwiseAND(b) == b
 
 
+def zero_mask(width: int) -> Column:
+    """The empty wide mask: an array of longs, member i is bit ``i % 64`` of word ``i // 64``."""
+    return F.array(*[F.lit(0).cast("bigint")] * (-(-width // 64)))
+
+
+def wide_bit(index: Column, width: int) -> Column:
+    """A4 for any declared width: the wide mask of one member; an index outside gives null."""
+    shift = F.call_function("shiftleft", F.lit(1).cast("bigint"), (index % 64).cast("int"))
+    words = [
+        F.when((index >= i) & (index < i + 64), shift).otherwise(F.lit(0).cast("bigint")) for i in range(0, width, 64)
+    ]
+    return F.when((index >= 0) & (index < width), F.array(*words))
+
+
+def _wide(fold, mask: Column, width: int) -> Column:
+    words = F.array(*[fold(F.get(mask, F.lit(i))) for i in range(-(-width // 64))])
+    return F.when(F.count(mask) > 0, words)
+
+
+def wide_union(mask: Column, width: int) -> Column:
+    """Aggregate: members of any wide mask; null without one."""
+    return _wide(F.bit_or, mask, width)
+
+
+def wide_intersect(mask: Column, width: int) -> Column:
+    """Aggregate: members of every wide mask; null without one."""
+    return _wide(F.bit_and, mask, width)
+
+
+def wide_subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+
+
+def wide_count(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))
+
+
+def wide_superset(a: Column, b: Column) -> Column:
+    return F.forall(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y) == y), lambda same: same)
+
+
+def wide_members(mask: Column) -> Column:
+    """The members of a wide mask as a sorted array."""
+    bits = F.sequence(F.lit(0), F.lit(63))
+
+    def members(word: Column, number: Column) -> Column:
+        return F.transform(F.filter(bits, lambda i: F.getbit(word, i) == 1), lambda i: number * 64 + i)
+
+    return F.flatten(F.transform(mask, members))
+
+
 def single_def_single_use(
     df: DataFrame, by: list[str], is_def: Column, extra: DataFrame | None = None
 ) -> DataFrame:

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.aggs import wide_bit, wide_union, zero_mask
 from factlake.operators.checks import assert_edges_closed
 from factlake.plans.contract import Contraction, contract_all, no_values
-from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, follow, grow, spread
+from factlake.plans.loop import DEFAULT_MAX_ROUNDS, NotConverged, follow, grow, relax, spread
 from factlake.plans.scratch import Scratch
 from factlake.plans.skew import (
     attach_group,
@@ -374,6 +375,56 @@ def propagate_blocked(
     return grow(start, step, name="blocked", max_rounds=max_rounds)
 
 
+def propagate_blocked_masks(
+    edges: DataFrame,
+    gen: DataFrame,
+    kill: DataFrame | None = None,
+    require: DataFrame | None = None,
+    *,
+    width: int,
+    direction: str = "forward",
+    max_rounds: int = DEFAULT_MAX_ROUNDS,
+) -> DataFrame:
+    """G11 with one row for each node: ``(node, mask)``, the labels on entry as a wide mask (A4).
+
+    Tables are those of ``propagate_blocked`` with labels from 0 to ``width - 1``; another label is an error.  Nodes without any
+    label are left out.  A round sends one mask an edge instead of one row a label.
+    """
+    if direction not in ("forward", "backward"):
+        raise ValueError(f"direction must be forward or backward, not {direction!r}")
+    if direction == "backward" and require is not None:
+        raise ValueError("the backward form has no require table")
+    scratch = Scratch(edges.sparkSession, "blocked-masks")
+    arcs = scratch.put((edges if direction == "forward" else swap(edges)).select("src", "dst").distinct(), "e").df
+    none, every = zero_mask(width), F.array(*[F.lit(-1).cast("bigint")] * (-(-width // 64)))
+
+    def masks(facts: DataFrame, out: str) -> DataFrame:
+        inside = (F.col("label") >= 0) & (F.col("label") < width)
+        label = F.when(inside, wide_bit(F.col("label"), width)).otherwise(F.raise_error(F.lit("label outside the mask")))
+        return facts.groupBy("node").agg(wide_union(label, width).alias(out))
+
+    ids = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    own = ids.join(masks(gen, "_gen"), "node", "left")
+    own = own.withColumn("_kill", none) if kill is None else own.join(masks(kill, "_kill"), "node", "left")
+    own = own.withColumn("_need", every) if require is None else own.join(masks(require, "_need"), "node", "left")
+    passes = F.zip_with(F.coalesce("_need", none), F.coalesce("_kill", none), lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+    own = scratch.put(own.select("node", F.coalesce("_gen", none).alias("_gen"), passes.alias("_pass")), "o").df
+
+    def step(changed: DataFrame) -> DataFrame:
+        kept = F.zip_with("mask", "_pass", lambda x, y: x.bitwiseAND(y))
+        out = F.zip_with(kept, "_gen", lambda x, y: x.bitwiseOR(y))
+        sent = changed.join(own, "node").select("node", out.alias("mask")).filter(F.col("mask") != none)
+        return follow(sent, arcs, "node").groupBy("node").agg(wide_union(F.col("mask"), width).alias("_mask"))
+
+    def merge(state: DataFrame, offers: DataFrame) -> DataFrame:
+        more = F.zip_with("mask", F.coalesce("_mask", none), lambda x, y: x.bitwiseOR(y))
+        both = state.join(offers, "node", "left").select("node", "mask", more.alias("_more"))
+        return both.select("node", F.col("_more").alias("mask"), (F.col("_more") != F.col("mask")).alias("changed"))
+
+    final = relax(own.select("node", none.alias("mask")), step, merge, keys=["node"], name="blocked-masks", max_rounds=max_rounds)
+    return final.filter(F.col("mask") != none)
+
+
 def taint(
     edges: DataFrame, variables: DataFrame, bottoms: DataFrame, tops: DataFrame
 ) -> DataFrame:
@@ -537,3 +588,99 @@ def expand_dependencies(
 def leaf_numbers(expanded: DataFrame) -> DataFrame:
     """The number each leaf keeps: that of its last visit."""
     return expanded.groupBy("root", "leaf").agg(F.max("number").alias("number"))
+
+
+def leaf_counts(
+    deps: DataFrame, roots: DataFrame, is_leaf: Column, *, max_rounds: int = DEFAULT_MAX_ROUNDS
+) -> DataFrame:
+    """``(node, leaves)``: how many leaves each inner node below ``roots`` expands to, repeated visits included.
+
+    Arguments as for ``expand_dependencies``.  Counts go up from the leaves, so a shared node is counted once however often it
+    is visited.  Nodes on a cycle never get a count, which is reported; a count beyond a bigint is an error.
+    """
+    return _counted(deps, roots, is_leaf, max_rounds)[1]
+
+
+def _counted(deps: DataFrame, roots: DataFrame, is_leaf: Column, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The arcs ``(node, pos, child, leaf)`` below the roots and the counts of inner nodes."""
+    scratch = Scratch(deps.sparkSession, "leaves")
+    is_leaf = F.coalesce(is_leaf, F.lit(True))
+    named = deps.select(F.col("parent").alias("_parent"), "pos", F.col("child").alias("node")).distinct()
+    every = scratch.put(
+        named.select(F.col("_parent").alias("node"), "pos", F.col("node").alias("child"), is_leaf.alias("leaf")), "e"
+    ).df
+    inner = every.filter("NOT leaf").select("node", "child")
+    start = roots.select("node").distinct().filter(~is_leaf)
+    used = grow(
+        start, lambda delta: delta.join(inner, "node").select(F.col("child").alias("node")), name="below", max_rounds=max_rounds
+    )
+    used = scratch.put(used, "u").df
+    missing = used.join(every, "node", "left_anti").limit(3).collect()
+    if missing:
+        raise ValueError(f"no dependencies for {[r['node'] for r in missing]}")
+    arcs = scratch.put(every.join(used, "node", "left_semi"), "a").df
+    up = arcs.filter("NOT leaf").select(F.col("child").alias("node"), F.col("node").alias("_parent"))
+    state = arcs.groupBy("node").agg(
+        F.count_if(~F.col("leaf")).alias("open"), F.count_if("leaf").alias("leaves")
+    )
+
+    def step(changed: DataFrame) -> DataFrame:
+        # a node sends its count once: when the last of its children is counted
+        sent = changed.filter("open = 0").join(up, "node")
+        return sent.groupBy(F.col("_parent").alias("node")).agg(F.count("*").alias("_got"), F.sum("leaves").alias("_more"))
+
+    def merge(rows: DataFrame, offers: DataFrame) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return rows.join(offers, "node", "left").select(
+            "node",
+            (F.col("open") - F.coalesce("_got", zero)).alias("open"),
+            (F.col("leaves") + F.coalesce("_more", zero)).alias("leaves"),
+            F.col("_got").isNotNull().alias("changed"),
+        )
+
+    counts = relax(state, step, merge, keys=["node"], name="leaves", max_rounds=max_rounds)
+    cyclic = counts.filter("open > 0").limit(3).collect()
+    if cyclic:
+        raise ValueError(f"a cycle at or below {[r['node'] for r in cyclic]}")
+    return arcs, counts.select("node", "leaves")
+
+
+def leaf_numbers_by_counts(
+    deps: DataFrame, roots: DataFrame, is_leaf: Column, *, max_rounds: int = DEFAULT_MAX_ROUNDS
+) -> DataFrame:
+    """G17 without expansion: ``(root, leaf, number)``, the number of each leaf's last visit.
+
+    Equal to ``leaf_numbers(expand_dependencies(…))``, but the number of a child's first leaf is that of its parent plus the
+    leaves of the children before it, and only the largest is kept: one row for each root and node, not one for
+    each visit.  Children of one position go by name.
+    """
+    scratch = Scratch(deps.sparkSession, "leaf-numbers")
+    arcs, counts = _counted(deps, roots, is_leaf, max_rounds)
+    sized = arcs.join(counts.select(F.col("node").alias("child"), "leaves"), "child", "left")
+    size = F.when(F.col("leaf"), F.lit(1).cast("bigint")).otherwise(F.col("leaves"))
+    sized = scratch.put(sized.select("node", "pos", "child", "leaf", size.alias("size")), "w").df
+    placed = running_sum(sized, ["node"], ["pos", "child"], F.col("size"), "before")
+    placed = scratch.put(placed.select("node", "child", "leaf", F.col("before").cast("bigint").alias("before")), "p").df
+    # of the arcs between two nodes only the last one matters
+    last = placed.groupBy("node", "child", "leaf").agg(F.max("before").alias("before"))
+    last = scratch.put(last, "l").df
+    inner = last.filter("NOT leaf").select("node", F.col("child").alias("_child"), "before")
+
+    def step(changed: DataFrame) -> DataFrame:
+        sent = changed.join(inner, "node")
+        return sent.groupBy("root", F.col("_child").alias("node")).agg(F.max(F.col("at") + F.col("before")).alias("_at"))
+
+    def merge(rows: DataFrame, offers: DataFrame) -> DataFrame:
+        later = F.col("_at").isNotNull() & (F.col("at").isNull() | (F.col("_at") > F.col("at")))
+        return rows.join(offers, ["root", "node"], "full").select(
+            "root", "node", F.greatest("at", "_at").alias("at"), later.alias("changed")
+        )
+
+    starts = roots.select("node").distinct().withColumn("_leaf", F.coalesce(is_leaf, F.lit(True)))
+    inside = starts.filter("NOT _leaf").select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("at"))
+    at = relax(inside, step, merge, keys=["root", "node"], name="leaf-numbers", max_rounds=max_rounds)
+    found = at.join(last.filter("leaf"), "node").groupBy("root", F.col("child").alias("leaf"))
+    alone = starts.filter("_leaf").select(
+        F.col("node").alias("root"), F.col("node").alias("leaf"), F.lit(0).cast("bigint").alias("number")
+    )
+    return found.agg(F.max(F.col("at") + F.col("before")).alias("number")).unionByName(alone)

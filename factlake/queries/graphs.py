@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factlake.operators import checks, graph
+from factlake.operators import aggs, checks, flow, graph
 from factlake.queries.graph_data import (
     WITH_CLOSURE,
     WITH_COMP,
@@ -13,6 +13,7 @@ from factlake.queries.graph_data import (
     lines,
     supply,
 )
+from factlake.plans.skew import next_value
 from factlake.queries.registry import query
 from factlake.queries.sources import MANIFEST_SQL, manifest_docs
 from factlake.sources.manifest import manifest_tables
@@ -219,6 +220,78 @@ def g11_backward(t):
     return graph.propagate_blocked(g.edges, gen, kill, direction="backward")
 
 
+@query(
+    "g11_wide_masks",
+    f"""{WITH_LINES}, gen AS (SELECT id AS node, supp % 200 AS label FROM nodes WHERE flag = 'R'),
+        dead AS (SELECT id AS node, (supp + id) % 200 AS label FROM nodes
+                 UNION SELECT id, supp % 200 FROM nodes WHERE status = 'F'),
+        fact AS (SELECT dst AS node, label FROM gen JOIN edges ON src = node
+        UNION SELECT dst, f.label FROM fact f JOIN edges ON src = f.node
+        WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.node = f.node AND d.label = f.label))
+        SELECT node, string_agg(label, ',' ORDER BY label) AS labels, count(*) AS n FROM fact GROUP BY node""",
+)
+def g11_wide_masks(t):
+    g = lines(t)
+    node = F.col("id").alias("node")
+    gen = g.nodes.filter("flag = 'R'").select(node, (F.col("supp") % 200).alias("label"))
+    kill = g.nodes.select(node, ((F.col("supp") + F.col("id")) % 200).alias("label"))
+    kill = kill.unionByName(g.nodes.filter("status = 'F'").select(node, (F.col("supp") % 200).alias("label")))
+    found = graph.propagate_blocked_masks(g.edges, gen, kill, width=200)
+    members = aggs.wide_members(F.col("mask")).cast("array<string>")
+    return found.select("node", F.concat_ws(",", members).alias("labels"), aggs.wide_count(F.col("mask")).alias("n"))
+
+
+@query(
+    "n5_dead_writes_flow",
+    # a line may read one of its order's variables, writes one and may write a second one
+    f"""{WITH_LINES}, log AS (
+          SELECT id AS block, 0 AS pos, supp % 3 AS var, false AS w FROM nodes WHERE supp % 2 = 0
+          UNION ALL SELECT id, 1, (supp // 3) % 3, true FROM nodes
+          UNION ALL SELECT id, 2, (supp // 5) % 3, true FROM nodes WHERE flag <> 'N'),
+        heads AS (SELECT block, var, arg_min(w, pos) AS kills FROM log GROUP BY block, var),
+        needed AS (SELECT block, var FROM heads WHERE NOT kills
+          UNION SELECT e.src, n.var FROM needed n JOIN edges e ON e.dst = n.block
+          WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.block = e.src AND h.var = n.var AND h.kills)),
+        marked AS (SELECT *, lead(w) OVER (PARTITION BY block, var ORDER BY pos) AS nxt FROM log)
+        SELECT block, pos, var FROM marked m WHERE w AND (nxt OR nxt IS NULL AND NOT EXISTS (
+          SELECT 1 FROM edges e JOIN needed n ON n.block = e.dst WHERE e.src = m.block AND n.var = m.var))""",
+)
+def n5_flow(t):
+    g = lines(t)
+    row = lambda pos, div, write: [
+        F.col("id").alias("block"), F.lit(pos).alias("pos"), (F.floor(F.col("supp") / div) % 3).alias("var"), F.lit(write).alias("w")
+    ]
+    log = g.nodes.filter("supp % 2 = 0").select(*row(0, 1, False)).unionByName(g.nodes.select(*row(1, 3, True)))
+    log = log.unionByName(g.nodes.filter("flag <> 'N'").select(*row(2, 5, True)))
+    dead = flow.dead_writes_flow(log, g.edges, block="block", key=["var"], order=["pos"], is_write=F.col("w"))
+    return dead.select("block", "pos", "var")
+
+
+@query(
+    "j7_dominating_source",
+    # each line may also go on to the next line with its flag; open lines are sources, returned lines checks
+    f"""{WITH_LINES}, ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE dst < src),
+        first AS (SELECT ord, min(id) AS entry FROM nodes GROUP BY ord),
+        sources AS (SELECT id FROM nodes WHERE supp % 3 = 0),
+        around AS (SELECT s.id AS dom, entry AS node FROM sources s JOIN nodes USING (id) JOIN first USING (ord) WHERE s.id <> entry
+          UNION SELECT a.dom, w.dst FROM around a JOIN ways w ON w.src = a.node WHERE w.dst <> a.dom),
+        doms AS (SELECT d.ord, d.id AS dom, n.id AS node FROM nodes d JOIN nodes n ON d.ord = n.ord AND d.id <> n.id
+          WHERE d.id IN (SELECT id FROM sources) AND NOT EXISTS (SELECT 1 FROM around a WHERE a.dom = d.id AND a.node = n.id)),
+        depth AS (SELECT node AS dom, count(*) AS k FROM doms GROUP BY node)
+        SELECT entry, node AS id, arg_max(doms.dom, coalesce(k, 0)) AS source_id
+        FROM doms JOIN first USING (ord) LEFT JOIN depth ON depth.dom = doms.dom
+        WHERE node IN (SELECT id FROM nodes WHERE flag = 'R') GROUP BY entry, node""",
+)
+def j7_flow(t):
+    g = lines(t)
+    ways = g.edges.unionByName(graph.swap(g.edges.filter("dst < src")))
+    entries = g.nodes.groupBy("ord").agg(F.min("id").alias("id"))
+    here = F.col("id").alias("block")
+    return flow.dominating_source(
+        g.nodes.filter("flag = 'R'").select("id", here), g.nodes.filter("supp % 3 = 0").select("id", here), ways, entries
+    )
+
+
 @query(
     "g12_taint",
     f"{_reach('''status = 'F' AND flag = 'N' ''')} SELECT id, id NOT IN (SELECT id FROM reach) AS value FROM nodes",
@@ -328,6 +401,28 @@ def g17_last(t):
     return graph.leaf_numbers(found).withColumnRenamed("root", "folder")
 
 
+@query(
+    "g17_leaf_numbers_by_counts",
+    # a line depends on the next line, on the next line with its flag and on its supplier, the leaf
+    f"""{WITH_LINES}, deps AS (
+          SELECT id AS parent, 0 AS pos, lead(id) OVER (PARTITION BY ord ORDER BY id) AS child FROM nodes QUALIFY child IS NOT NULL
+          UNION ALL SELECT id, 1, lead(id) OVER (PARTITION BY ord, flag ORDER BY id) AS child FROM nodes QUALIFY child IS NOT NULL
+          UNION ALL SELECT id, 2, -1 - supp FROM nodes),
+        visits AS (SELECT min(id) AS root, min(id) AS node, []::INTEGER[] AS path FROM nodes GROUP BY ord
+          UNION ALL SELECT root, child, list_append(path, pos) FROM visits JOIN deps ON parent = node),
+        numbered AS (SELECT root, node AS leaf, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS number FROM visits WHERE node < 0)
+        SELECT root, leaf, max(number) AS number FROM numbered GROUP BY root, leaf""",
+)
+def g17_counts(t):
+    g = lines(t)
+    arc = lambda pos, child: [F.col("id").alias("parent"), F.lit(pos).alias("pos"), child.alias("child")]
+    deps = next_value(g.nodes, ["ord"], ["id"], F.col("id"), "to").filter("to IS NOT NULL").select(*arc(0, F.col("to")))
+    same = next_value(g.nodes, ["ord", "flag"], ["id"], F.col("id"), "to").filter("to IS NOT NULL").select(*arc(1, F.col("to")))
+    deps = deps.unionByName(same).unionByName(g.nodes.select(*arc(2, -1 - F.col("supp"))))
+    roots = g.nodes.groupBy("ord").agg(F.min("id").alias("node"))
+    return graph.leaf_numbers_by_counts(deps, roots, F.col("node") < 0)
+
+
 @query(
     "q1_open_edges",
     f"""{WITH_LINES} SELECT src, dst FROM edges

@@ -176,7 +176,30 @@ def test_masks(spark):
     full = spark.range(1).select(aggs.full_mask(63).alias("f"), aggs.full_mask(0).alias("z")).first()
     assert (full["f"], full["z"]) == ((1 << 63) - 1, 0)
     with pytest.raises(ValueError):
-        aggs.full_mask(64)
+        aggs.full_mask(-1)
+
+
+def test_wide_masks(spark):
+    sets = {1: [{0, 63, 64, 199}, {63, 64}], 2: [{5}, set()], 3: [set(range(200))], 4: []}
+    data = [(k, j, i) for k, some in sets.items() for j, members in enumerate(some) for i in [*members, 200, -1]] + [(4, 0, None)]
+    single = table(spark, data, "k int, j int, i int").select("k", "j", aggs.wide_bit(F.col("i"), 200).alias("m"))
+    m = F.coalesce("m", aggs.zero_mask(200))
+    per = single.groupBy("k", "j").agg(aggs.wide_union(m, 200).alias("m"), aggs.wide_union(F.col("m"), 200).alias("raw"))
+    both = per.groupBy("k").agg(aggs.wide_union(F.col("m"), 200).alias("u"), aggs.wide_intersect(F.col("m"), 200).alias("x"), F.max("raw").alias("raw"))
+    got = {
+        r.k: r
+        for r in both.select(
+            "k", "raw", aggs.wide_members(F.col("u")).alias("u"), aggs.wide_members(F.col("x")).alias("x"),
+            aggs.wide_count(F.col("u")).alias("n"), aggs.wide_members(aggs.wide_subtract(F.col("u"), F.col("x"))).alias("d"),
+            aggs.wide_superset(F.col("u"), aggs.full_mask(200)).alias("all"), aggs.wide_superset(F.col("u"), F.col("x")).alias("sup"),
+        ).collect()
+    }
+    for k, some in sets.items():
+        u, x = set().union(*some), set.intersection(*some) if some else set()
+        assert (got[k].u, got[k].x, got[k].n, got[k].d) == (sorted(u), sorted(x), len(u), sorted(u - x))
+        assert got[k]["all"] == (k == 3) and got[k].sup
+    assert got[4].raw is None
+    assert spark.range(1).select(aggs.wide_members(aggs.full_mask(64)).alias("m")).first().m == list(range(64))
 
 
 def test_stages_saturate(spark):

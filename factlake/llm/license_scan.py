@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -154,29 +155,41 @@ class Scanner:
                 matches.append((begin + i + 1 - length, length, state))
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, float, int]]:
-        """Covered template spans: first word, last word, covered share, template."""
-        open_, done = {}, []
+        """Covered template spans: first word, last word, covered share, template.
+
+        A match that stands at several places of a template has a chain for each place.  It goes on from the open chain
+        that leaves it the most covered words; words of the text or template that the chain has already do
+        not count again.  Of chains of one template that overlap in the text the best covered one stays.
+        """
+        found: dict[int, list[tuple[int, int, int]]] = {}  # of a template: covered words, first word, last word
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # last word, place, covered words, first word
         for begin, length, state in matches:
-            for t, place in sorted(self.automaton.ends[state]):
-                if t < self.phrases:
-                    continue
-                first = place - length + 1
-                chain = open_.get(t)
-                if chain and (begin - chain[1] - 1 > self.max_gap or place <= chain[3]):
-                    # it can't go on from there: an equal place again is a new copy
-                    if begin > chain[1]:
-                        done.append((t, chain))
-                        chain = None
-                    else:
-                        continue
-                if chain:
-                    chain[2] += place - max(first - 1, chain[3])
-                    chain[1], chain[3] = begin + length - 1, place
-                else:
-                    open_[t] = [begin, begin + length - 1, length, place]
-        done += open_.items()
-        spans = [(c[0], c[1], min(1.0, c[2] / self.sizes[t]), t) for t, c in done]
-        return sorted((s for s in spans if s[2] >= self.min_cover), key=lambda s: (s[0], s[1], self.labels[s[3]], s[3]))
+            last, places = begin + length - 1, {}
+            for t, place in self.automaton.ends[state]:
+                if t >= self.phrases:
+                    places.setdefault(t, []).append(place)
+            for t, ends in places.items():
+                live = [c for c in open_.get(t, ()) if begin - c[0] - 1 <= self.max_gap]
+                new = []
+                for place in ends:
+                    best = (length, begin)
+                    for end, before, covered, start in live:
+                        fresh = min(place - before, last - end, length)
+                        if fresh > 0:
+                            best = max(best, (covered + fresh, start))
+                    new.append((last, place, *best))
+                    if best[0] >= self.min_cover * self.sizes[t]:
+                        found.setdefault(t, []).append((best[0], best[1], last))
+                open_[t] = live + new
+        spans = []
+        for t, chains in found.items():
+            taken: list[tuple[int, int]] = []  # kept apart and sorted
+            for covered, first, last in sorted(set(chains), key=lambda c: (-c[0], c[1], c[2])):
+                i = bisect.bisect(taken, (first, last))
+                if (not i or taken[i - 1][1] < first) and (i == len(taken) or last < taken[i][0]):
+                    taken.insert(i, (first, last))
+                    spans.append((first, last, covered / self.sizes[t], t))
+        return sorted(spans, key=lambda s: (s[0], s[1], self.labels[s[3]], s[3]))
 
 
 _FIELDS = [

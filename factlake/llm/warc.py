@@ -249,6 +249,7 @@ def capture_history(pages: DataFrame, folder: str | None = None, **options) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op7_warc_index``: all pages through archives into one index."""
+    """``op7_warc_index``: all pages through archives into one index, its entries with their place in the merged order."""
     found = capture_history(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length")
+    base = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return found.select(*base, "url_key", "captured", "place", "run", "file", "offset", "length")

@@ -65,3 +65,53 @@ def test_spans_of_templates():
         assert (n_base, labels) == (0, "mit") and score > 0.9 and len(spans.split(",")) == 1
     assert len(SCANNER.scan((mit + " between " + mit).encode())[-1].split(",")) == 2
     assert SCANNER.scan(b"permission is hereby granted to leave")[-3:] == ("", 0.0, "")
+
+
+def scanner(template, min_match=2, max_gap=2):
+    return Scanner({"zz zz": "z"}, [("t", template)], min_match, max_gap, 0.0)
+
+
+def test_a_repeated_passage_counts_once():
+    passage = "a b c d e f g "
+    both = scanner(passage + "h i " + passage + "j k", 4, 8)
+    assert both.scan(passage.encode())[-2] == 7 / 18
+    assert both.scan((passage + "x " + passage).encode())[-2] == 14 / 18
+
+
+def best_chain(text, template, min_match, max_gap):
+    """Every way to put maximal matches at places of the template, one after the other."""
+    size, found = len(template), []
+    for end in range(len(text)):
+        lengths = []
+        for e in (end, end + 1):
+            options = [n for n in range(1, e + 2) if e < len(text) and any(template[p : p + n] == text[e + 1 - n : e + 1] for p in range(size - n + 1))]
+            lengths.append(max(options, default=0))
+        if lengths[0] >= min_match and lengths[1] <= lengths[0]:
+            n = lengths[0]
+            found.append((end + 1 - n, end, [p + n - 1 for p in range(size - n + 1) if template[p : p + n] == text[end + 1 - n : end + 1]]))
+
+    def extend(i, end, place, covered):
+        best = covered
+        for j in range(i, len(found)):
+            begin, last, places = found[j]
+            for p in places:
+                fresh = last - begin + 1 if end is None else min(p - place, last - end, last - begin + 1)
+                if fresh > 0 and (end is None or begin - end - 1 <= max_gap):
+                    best = max(best, extend(j + 1, last, p, covered + fresh))
+        return best
+
+    return extend(0, None, -1, 0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=2, max_size=9), st.lists(st.sampled_from("abcdx"), max_size=10))
+def test_chains_by_brute_force(template, text):
+    score = scanner(" ".join(template)).scan(" ".join(text).encode())[-2]
+    assert abs(score - best_chain(text, template, 2, 2) / len(template)) < 1e-9
+
+
+def test_spans_of_a_template_lie_apart():
+    mit = dict(TEMPLATES[:1])["mit"]
+    spans = SCANNER.scan((mit + " between " + mit + mit + " filler" * 50 + mit[:600]).encode())[-1].split(",")
+    places = [tuple(map(int, s.split(":")[1:3])) for s in spans if s.startswith("mit:")]
+    assert len(places) >= 3 and all(a[1] < b[0] for a, b in zip(places, places[1:]))

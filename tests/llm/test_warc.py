@@ -92,3 +92,17 @@ def test_url_keys():
     assert warc.url_key("HTTPS://www.Blog.Example.com/A/?b=1#c") == "com,example,blog)/a?b=1"
     assert warc.url_key("http://h.example:8080") == "example,h:8080)/"
     assert warc.url_key(None) == ")/"
+
+
+def test_query_is_in_merged_order(spark):
+    """The whole table: places are distinct and put all captures in order; offsets lead to the record in its file."""
+    got = warc.query(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count() == len({r.place for r in got})
+    keys = [(r.url_key, r.captured, r.page_id) for r in sorted(got, key=lambda r: r.place)]
+    assert keys == sorted(keys)
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r.file, []).append((r.offset, r.length))
+    for spans in by_file.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))

@@ -115,3 +115,14 @@ def test_spans_of_a_template_lie_apart():
     spans = SCANNER.scan((mit + " between " + mit + mit + " filler" * 50 + mit[:600]).encode())[-1].split(",")
     places = [tuple(map(int, s.split(":")[1:3])) for s in spans if s.startswith("mit:")]
     assert len(places) >= 3 and all(a[1] < b[0] for a, b in zip(places, places[1:]))
+
+
+def test_parts_of_a_licence():
+    for label in ("isc", "bsd", "lgpl", "unlicense"):
+        parts = [text for name, text in TEMPLATES if name == label]
+        assert len(parts) > 1
+        for part in parts:
+            *_, labels, score, _ = SCANNER.scan(part.encode())
+            assert label in labels.split(",") and score == 1.0
+        whole = SCANNER.scan("\n\n".join(parts).encode())
+        assert [s.split(":")[0] for s in whole[-1].split(",")].count(label) >= len(parts)

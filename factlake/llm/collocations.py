@@ -16,6 +16,8 @@ from factlake.plans.scratch import Scratch
 
 UND = "und"
 _NEVER = 255
+#: Bytes of text that a task works on at a time, and those hashed at a time.
+_SLICE, _BLOCK = 1 << 22, 1 << 18
 _BLANKS = b" \t"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
@@ -35,7 +37,7 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     """A number for the bytes of each word: a polynomial in them, summed for a block of words at a time."""
     out = np.empty(len(starts), np.uint64)
     powers = np.cumprod(np.full(int((ends - starts).max()), 0x9E3779B97F4A7C15, np.uint64))
-    cut = np.searchsorted(ends, np.arange(0, len(data) + (1 << 20), 1 << 20), side="right")
+    cut = np.searchsorted(ends, np.arange(0, len(data) + _BLOCK, _BLOCK), side="right")
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if a < b:
             size = (ends - starts)[a:b]
@@ -163,7 +165,7 @@ def frequent_phrases(
         def scan(batches: Iterator[pa.RecordBatch], step: int = step, shared=shared) -> Iterator[pa.RecordBatch]:
             counter = Counter(shared.value, step, shards, longest)
             for batch in batches:
-                for part in slices(batch, 1):
+                for part in slices(batch, 1, _SLICE):
                     yield from counter.count(part.column(1), part.column(0))
 
         shard = rows.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == step % shards)

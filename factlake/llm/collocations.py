@@ -24,8 +24,9 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Of a phrase: its step, length and slot in one number, which is alike in all rows of the phrase.
-_COUNTS = "lang string, phrase string, about bigint, n bigint"
+#: ``key`` is a number for the phrase and its language, ``about`` its first step and length.
+_COUNTS = "key bigint, about int, n bigint"
+_PHRASES = "lang string, k int, phrase string, f bigint"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,83 +49,111 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return _mixed(out)
 
 
-class Counter:
-    """Counts the phrases of one step in the texts of one shard.
+class Words:
+    """The words of some texts, their pieces and languages, and numbers for the phrases they begin."""
 
-    ``since`` has for each slot (a hash of language and phrase) the step from which a phrase filed there may be part
-    of longer ones.  A phrase begins once both its parts, without the last and without the first word, may; it
-    is counted in ``shards`` steps from then on, one full cycle.  Phrases that share a slot make others
-    begin early, never late, and every phrase is counted by its words, so counts are exact.
-    """
-
-    def __init__(self, since: np.ndarray, step: int, shards: int, longest: int):
-        self.since, self.step, self.shards, self.longest = since, step, shards, longest
-        self.shift = np.uint64(64 - (len(since).bit_length() - 1))
-
-    def count(self, texts: pa.Array, langs: pa.Array) -> Iterator[pa.RecordBatch]:
+    def __init__(self, texts: pa.Array, langs: pa.Array):
         data, begins = joined(texts)
-        data = _LOWER[data]
-        kind = _KIND[data]
-        starts, ends = runs(kind == 0, begins)
-        if not len(starts):
-            return
+        self.data = _LOWER[data]
+        kind = _KIND[self.data]
+        self.starts, self.ends = runs(kind == 0, begins)
         breaks = np.zeros(len(kind) + 1, np.int32)
         np.cumsum(kind == 2, out=breaks[1:])
-        doc = np.searchsorted(begins, starts, side="right") - 1
+        doc = np.searchsorted(begins, self.starts, side="right") - 1
         # neighbours in one piece have this in common
-        piece = breaks[starts] + doc
-        del kind, breaks
+        self.piece = breaks[self.starts] + doc
         lang_of = langs.dictionary_encode()
-        lang = lang_of.indices.to_numpy().astype(np.int64)[doc]
-        seed = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lang_of.dictionary.to_pylist()], np.uint64)
-        own = _hashed(data, starts, ends)
-        key = _mixed(own ^ seed[lang])
-        since = allowed = np.zeros(len(key), np.uint8)
-        open_ = []
-        for k in range(1, self.longest + 1):
-            n = len(starts) - k + 1
-            if n <= 0:
-                break
+        self.langs = lang_of.dictionary
+        self.lang = lang_of.indices.to_numpy().astype(np.int64)[doc]
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def keys(self, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each k up to ``longest``: numbers of the phrases of k words from each word on, across pieces too."""
+        own = _hashed(self.data, self.starts, self.ends)
+        seed = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs.to_pylist()], np.uint64)
+        key = _mixed(own ^ seed[self.lang])
+        for k in range(1, min(longest, len(self)) + 1):
             if k > 1:
-                key = _mixed(key[:n] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :])
-                # a part that is new at this step was found after the last one
-                since = np.maximum(allowed[:n], allowed[1 : n + 1])
-                since[piece[:n] != piece[k - 1 :]] = _NEVER
-            slot = (key >> self.shift).astype(np.int32)
-            allowed = self.since[slot]
-            at = np.flatnonzero((since <= self.step) & (self.step < since.astype(np.int32) + self.shards))
-            if len(at):
-                open_.append((k, at, key[at], slot[at], since[at]))
-        if not open_:
-            return
-        # only words of open phrases are read as such
-        used = np.zeros(len(starts), bool)
-        for k, at, *_ in open_:
-            for j in range(k):
-                used[at + j] = True
-        edge = np.zeros(len(data) + 1, np.int8)
-        edge[starts[used]] += 1
-        edge[ends[used]] -= 1
-        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-        found, words = dictionary(data, inside, (ends - starts)[used])
-        word = np.zeros(len(starts), np.int32)
-        word[used] = found
-        del edge, inside, found, used
-        for k, at, key, slot, since in open_:
-            yield self._rows(at, k, key, slot, since, word, words, lang, lang_of.dictionary)
-
-    def _rows(self, at, k, key, slot, since, word, words, lang, langs) -> pa.RecordBatch:
-        """One row for each different phrase of the ``k`` words from ``at`` on, told apart by its words."""
-        _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        if any((p != p[first][number]).any() for p in (lang[at], *(word[at + j] for j in range(k)))):  # two phrases have one hash
-            parts = np.stack([lang[at], *(word[at + j] for j in range(k))])
-            _, first, n = np.unique(parts, axis=1, return_index=True, return_counts=True)
-        at = at[first]
-        phrase = [words.take(pa.array(word[at + j])) for j in range(k)]
-        phrase = pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.large_binary())) if k > 1 else phrase[0]
-        about = since[first].astype(np.int64) << 40 | k << 32 | slot[first].astype(np.int64)
-        cols = [langs.take(pa.array(lang[at])), phrase.cast(pa.binary()).cast(pa.string()), pa.array(about), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "about", "n"])
+                key = _mixed(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :])
+            yield k, key
+
+    def split(self, k: int) -> np.ndarray:
+        """Whether the phrase of ``k`` words from each word on lies in more than one piece."""
+        return self.piece[: len(self) - k + 1] != self.piece[k - 1 :]
+
+
+def _shift(slots: np.ndarray) -> np.uint64:
+    """A phrase's slot is what its number has beyond these bits."""
+    return np.uint64(64 - (len(slots).bit_length() - 1))
+
+
+def count_open(words: Words, since: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """How often each open phrase occurs, by its number.
+
+    ``since`` has for each slot (leading bits of a phrase's number) the step from which a phrase filed there may be part
+    of longer ones.  A phrase begins once both its parts, without the last and without the first word, may; it
+    is counted in ``shards`` steps from then on, one full cycle.  Phrases that share a slot make others
+    begin early, never late.
+    """
+    shift, allowed = _shift(since), np.zeros(0, np.uint8)
+    for k, key in words.keys(longest):
+        if k == 1:
+            begun = np.zeros(len(key), np.uint8)
+        else:
+            # a part that is new at this step was found after the last one
+            begun = np.maximum(allowed[:-1], allowed[1:])
+            begun[words.split(k)] = _NEVER
+        for first in range(max(0, step - shards + 1), step + 1):
+            mine = key[begun == first]
+            if len(mine):
+                mine, n = np.unique(mine, return_counts=True)
+                cols = [mine.view(np.int64), np.full(len(mine), first << 8 | k, np.int32), n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "about", "n"])
+        allowed = since[(key >> shift).astype(np.int32)]
+
+
+def read_phrases(words: Words, wanted: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """How often each phrase whose slot is ``wanted`` occurs, by its words; as k = 0, how many words each language has."""
+    n = np.bincount(words.lang, minlength=len(words.langs))
+    none = pa.array([""] * len(n), pa.string())
+    yield pa.RecordBatch.from_arrays([words.langs, pa.array(np.zeros(len(n), np.int32)), none, pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "f"])
+    shift, found = _shift(wanted), []
+    for k, key in words.keys(longest):
+        at = np.flatnonzero(wanted[(key >> shift).astype(np.int32)] & ~words.split(k))
+        if len(at):
+            found.append((k, at, key[at]))
+    if not found:
+        return
+    # only words of these phrases are read as such
+    used = np.zeros(len(words), bool)
+    for k, at, _ in found:
+        for j in range(k):
+            used[at + j] = True
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.starts[used]] += 1
+    edge[words.ends[used]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    number, different = dictionary(words.data, inside, (words.ends - words.starts)[used])
+    word = np.zeros(len(words), np.int32)
+    word[used] = number
+    del edge, inside, number, used
+    for k, at, key in found:
+        yield phrase_rows(at, k, key, word, different, words.lang, words.langs)
+
+
+def phrase_rows(at: np.ndarray, k: int, key: np.ndarray, word: np.ndarray, words: pa.Array, lang: np.ndarray, langs: pa.Array) -> pa.RecordBatch:
+    """One row for each different phrase of the ``k`` words from ``at`` on, told apart by its words."""
+    _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    if any((p != p[first][number]).any() for p in (lang[at], *(word[at + j] for j in range(k)))):  # two phrases have one hash
+        parts = np.stack([lang[at], *(word[at + j] for j in range(k))])
+        _, first, n = np.unique(parts, axis=1, return_index=True, return_counts=True)
+    at = at[first]
+    phrase = [words.take(pa.array(word[at + j])) for j in range(k)]
+    phrase = pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.large_binary())) if k > 1 else phrase[0]
+    cols = [langs.take(pa.array(lang[at])), pa.array(np.full(len(at), k, np.int32)), phrase.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(cols, ["lang", "k", "phrase", "f"])
 
 
 def frequent_phrases(
@@ -142,11 +171,14 @@ def frequent_phrases(
     The rows are dealt over ``shards`` by a hash of the text.  Each step scans the next shard, round and round, and counts
     phrases of all lengths that are open: words from the first step on, a longer phrase from the step
     after both its parts have reached ``least``.  After one full cycle a phrase's count is final; below ``least``
-    it goes.  The scan ends a full cycle after the last phrase that reached ``least``.
+    it goes.  The scan ends a full cycle after the last phrase that reached ``least``.  These counts are by a number
+    of 64 bits for the phrase, which keeps the words of rare phrases out of the shuffles; phrases that share a
+    number can only gain.  A last scan of all rows counts the phrases that are left by their words, so
+    the result is exact.
 
     What the tasks know of the phrases so far is one byte for each of 2^``slot_bits`` slots, whatever the size of
     the corpus; the driver collects numbers of slots only.  ``docs`` is read in each step (up to ``shards * longest``, at
-    most 250): a costly plan should be written first.
+    most 250) and in the last scan: a costly plan should be written first.
     """
     if shards * longest > 250 or not 1 <= slot_bits <= 31:
         raise ValueError("at most 250 steps and 2^31 slots")
@@ -155,27 +187,30 @@ def frequent_phrases(
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UND)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.filter(F.octet_length("text") > 0)
     since = np.full(1 << slot_bits, _NEVER, np.uint8)
+    wanted = np.zeros(1 << slot_bits, bool)
     empty = spark.createDataFrame([], _COUNTS)
-    begun, k = F.shiftright("about", 40), F.shiftright("about", 32).bitwiseAND(255).cast("int")
-    open_, open_path, final, totals = empty, None, [], None
+    begun, k = F.shiftright("about", 8), F.col("about").bitwiseAND(255)
+
+    def slots_of(counts: DataFrame) -> np.ndarray:
+        slot = F.shiftrightunsigned("key", 64 - slot_bits).cast("int").alias("slot")
+        return counts.filter(F.col("n") >= least).select(slot).distinct().toArrow()["slot"].to_numpy()
+
+    open_, open_path = empty, None
     step = last = 0
     while step < last + shards:
         shared = spark.sparkContext.broadcast(since)
 
         def scan(batches: Iterator[pa.RecordBatch], step: int = step, shared=shared) -> Iterator[pa.RecordBatch]:
-            counter = Counter(shared.value, step, shards, longest)
-            for batch in batches:
-                for part in slices(batch, 1, _SLICE):
-                    yield from counter.count(part.column(1), part.column(0))
+            for words in _words(batches):
+                yield from count_open(words, shared.value, step, shards, longest)
 
         shard = rows.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == step % shards)
         every = open_.unionByName(shard.mapInArrow(scan, _COUNTS))
-        counts = scratch.save(every.groupBy("lang", "phrase").agg(F.max("about").alias("about"), F.sum("n").alias("n")), "c")
+        counts = scratch.save(every.groupBy("key", "about").agg(F.sum("n").alias("n")), "c")
         shared.destroy()
         if open_path:
             scratch.drop(open_path)
-        reached = counts.df.filter((F.col("n") >= least) & (k < longest)).select(F.col("about").bitwiseAND((1 << 32) - 1).alias("slot"))
-        slots = reached.distinct().toArrow()["slot"].to_numpy()
+        slots = slots_of(counts.df.filter(k < longest))
         new = slots[since[slots] == _NEVER]
         step += 1
         if len(new):
@@ -183,16 +218,28 @@ def frequent_phrases(
             since[new] = step
             last = step
         ended = begun + shards <= step
-        if step == shards:
-            totals = scratch.save(counts.df.filter(k == 1).groupBy("lang").agg(F.sum("n").alias("n")), "n").df
-        if step >= shards:
-            done = counts.df.filter(ended & (F.col("n") >= least)).select("lang", k.alias("k"), "phrase", F.col("n").alias("f"))
-            final.append(scratch.save(done, "f").path)
+        wanted[slots_of(counts.df.filter(ended))] = True
         open_, open_path = counts.df.filter(~ended), counts.path
     if open_path:
         scratch.drop(open_path)
-    like = empty.select("lang", k.alias("k"), "phrase", F.col("n").alias("f"))
-    return scratch.read(final, like), totals
+    shared = spark.sparkContext.broadcast(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _words(batches):
+            yield from read_phrases(words, shared.value, longest)
+
+    by_words = rows.mapInArrow(read, _PHRASES).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    table = scratch.save(by_words.filter((F.col("k") == 0) | (F.col("f") >= least)), "f").df
+    shared.destroy()
+    return table.filter("k > 0"), table.filter("k = 0 AND f > 0").select("lang", F.col("f").alias("n"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    for batch in batches:
+        for part in slices(batch, 1, _SLICE):
+            words = Words(part.column(1), part.column(0))
+            if len(words):
+                yield words
 
 
 def _part(first: Column | int, length: Column) -> Column:

@@ -2,10 +2,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factlake.llm import collocations
-from factlake.llm.collocations import Counter as Step
+from factlake.llm.collocations import Words, count_open, phrase_rows
 from tests.llm.data import EDGES, documents, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,10 +90,23 @@ def test_counts_beyond_64_bits(spark):
 
 
 def test_equal_hashes_are_told_apart():
-    step = Step(np.zeros(1 << 4, np.uint8), 0, 4, 2)
-    import pyarrow as pa
-
     word, words = np.array([0, 1, 0, 1]), pa.array([b"a", b"b"], pa.large_binary())
     at, key, zero = np.arange(4), np.zeros(4, np.uint64), np.zeros(4, np.int64)
-    rows = step._rows(at, 1, key, zero, zero, word, words, zero, pa.array(["en"]))  # all four have one hash
-    assert sorted(zip(rows["phrase"].to_pylist(), rows["n"].to_pylist())) == [("a", 2), ("b", 2)]
+    rows = phrase_rows(at, 1, key, word, words, zero, pa.array(["en"]))  # all four have one hash
+    assert sorted(zip(rows["phrase"].to_pylist(), rows["f"].to_pylist())) == [("a", 2), ("b", 2)]
+
+
+def test_phrases_begin_after_their_parts():
+    words = Words(pa.array([b"a b a b. b"]), pa.array(["en"]))
+
+    def lengths(since, step):
+        found = Counter()
+        for batch in count_open(words, np.full(1 << 4, since, np.uint8), step, 2, 3):
+            for about, n in zip(batch["about"].to_pylist(), batch["n"].to_pylist()):
+                found[about >> 8, about & 255] += n
+        return dict(found)
+
+    assert lengths(255, 0) == {(0, 1): 5} and lengths(255, 2) == {}
+    # both parts known since step 1: pairs and triples within pieces, for two steps
+    assert lengths(1, 1) == lengths(1, 1) | {(1, 2): 3, (1, 3): 2} and lengths(1, 2) == {(1, 2): 3, (1, 3): 2}
+    assert lengths(1, 3) == {}

@@ -115,13 +115,18 @@ def count_open(words: Words, since: np.ndarray, step: int, shards: int, longest:
 
 
 def read_phrases(words: Words, wanted: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """How often each phrase whose slot is ``wanted`` occurs, by its words; as k = 0, how many words each language has."""
+    """How often each phrase occurs that is ``wanted`` with all its parts, by its words; as k = 0, all words of a language."""
     n = np.bincount(words.lang, minlength=len(words.langs))
     none = pa.array([""] * len(n), pa.string())
     yield pa.RecordBatch.from_arrays([words.langs, pa.array(np.zeros(len(n), np.int32)), none, pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "f"])
     shift, found = _shift(wanted), []
     for k, key in words.keys(longest):
-        at = np.flatnonzero(wanted[(key >> shift).astype(np.int32)] & ~words.split(k))
+        here = wanted[(key >> shift).astype(np.int32)]
+        if k > 1:
+            # what is left has no part that is not, so a slot shared by chance rarely counts
+            here &= ~words.split(k) & both[:-1] & both[1:]
+        both = here
+        at = np.flatnonzero(here)
         if len(at):
             found.append((k, at, key[at]))
     if not found:

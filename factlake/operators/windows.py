@@ -10,6 +10,7 @@ from factlake.plans.scratch import Scratch
 from factlake.plans.skew import (
     global_row_number,
     global_running_sum,
+    join_summary,
     next_value,
     running_sum,
 )
@@ -108,25 +109,29 @@ def flatten_leaves(
     )
     done: list[str] = []
     like = front.df.select("root", "path", "offset")
-    step = facts.select("owner", "pos", "child", F.col("offset").alias("_add"))
-    records = facts.select(F.col("owner").alias("node")).distinct()
+    # whether a child is a record is looked up once; a primitive has none, and nulls would all meet in one task
+    records = facts.select(F.col("owner").alias("child")).distinct().withColumn("_more", F.lit(True))
+    named = join_summary(facts.filter("child IS NOT NULL"), records, ["child"])
+    named = named.unionByName(facts.filter("child IS NULL").withColumn("_more", F.lit(None).cast("boolean")))
+    step = named.select("owner", "pos", "child", F.col("offset").alias("_add"), F.coalesce("_more", F.lit(False)).alias("_more"))
+    step = scratch.put(step, "s").df
     for _ in range(max_rounds):
         if not front.rows:
             break
-        opened = scratch.save(
+        opened = scratch.put(
             front.df.join(step, F.col("node") == F.col("owner")).select(
                 "root",
                 F.col("child").alias("node"),
                 F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"),
                 (F.col("offset") + F.col("_add")).alias("offset"),
+                "_more",
             ),
-            "n",
-        )
-        closed = opened.df.join(records, "node", "left_anti")
-        leaves = scratch.save(closed.select("root", "path", "offset"), "l")
+            "o",
+        ).df
+        leaves = scratch.save(opened.filter("NOT _more").select("root", "path", "offset"), "l")
         if leaves.rows:
             done.append(leaves.path)
-        front = scratch.save(opened.df.join(records, "node", "left_semi"), "n")
+        front = scratch.save(opened.filter("_more").drop("_more"), "n")
     else:
         raise NotConverged(f"records are nested deeper than {max_rounds}")
     return scratch.read(done, like) if done else like.filter(F.lit(False))

@@ -245,6 +245,18 @@ def _first_wins(defs, copies, blocked):
     return sorted((s, v, g, t) for (s, v), (g, t) in group.items())
 
 
+def test_leaves_without_child_do_not_meet_in_one_task(spark, hot):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        inner = [("outer", i, f"r{i}", i * 10) for i in range(40)] + [(f"r{i}", j, None, j) for i in range(40) for j in range(10)]
+        offsets = table(spark, inner, "owner string, pos bigint, child string, offset bigint")
+        leaves = windows.flatten_leaves(offsets, table(spark, [("outer",)], "owner string"))
+        assert rows(leaves.select("offset")) == [(i,) for i in range(400)]
+        assert leaves.select(F.input_file_name().alias("f")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_first_wins_matches_replay(spark):
     rnd = random.Random(5)
     defs = {(s, v) for s in range(6) for v in rnd.sample(range(1, 12), 3)}

@@ -64,15 +64,13 @@ def lines(t) -> Graph:
         ),
         "n",
     ).df
-    ahead = next_value(nodes, ["ord"], ["id"], F.col("id"), "dst")
-    back = next_value(nodes, ["ord", "flag"], ["id"], F.col("id"), "src")
-    edges = (
-        ahead.select(F.col("id").alias("src"), "dst")
-        .unionByName(back.select("src", F.col("id").alias("dst")))
-        .filter("src IS NOT NULL AND dst IS NOT NULL")
-        .distinct()
-    )
-    return Graph(nodes, scratch.save(edges, "e").df)
+    ahead = next_value(nodes, ["ord"], ["id"], F.col("id"), "_next")
+    both = next_value(ahead, ["ord", "flag"], ["id"], F.col("id"), "_same")
+    pair = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    edges = both.select(F.explode(F.array(pair("id", "_next"), pair("_same", "id"))).alias("_e")).select("_e.*")
+    edges = scratch.put(edges.filter("src IS NOT NULL AND dst IS NOT NULL"), "e").df
+    # distinct once more costs an operator nothing: Catalyst makes one of both
+    return Graph(nodes, edges.distinct())
 
 
 def copies(t) -> Graph:

@@ -33,6 +33,21 @@ def test_slices_are_used(log, hot):
     assert parts.df.count() == log.count()
 
 
+def test_small_groups_are_not_cut(spark, hot):
+    parts = skew.slice_groups(spark.range(3000).selectExpr("id", "id div 3 AS k"), ["k"], ["id"])
+    assert parts.cut is None
+    assert parts.df.filter("_slice <> 0").isEmpty()
+
+
+def test_groups_within_groups_share_a_shuffle(spark, hot):
+    some = spark.range(3000).selectExpr("id", "id div 30 AS k", "id % 2 AS f")
+    once = skew.next_value(some, ["k"], ["id"], F.col("id"), "a")
+    twice = skew.next_value(once, ["k", "f"], ["id"], F.col("id"), "b")
+    assert twice._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = some.filter("id % 30 < 28").selectExpr("id", "id + 1 AS a", "id + 2 AS b")
+    assert rows(twice.filter("b IS NOT NULL"), "id", "a", "b") == rows(want, "id", "a", "b")
+
+
 def test_running_sum(log, hot):
     before = _window().rowsBetween(Window.unboundedPreceding, -1)
     got = skew.running_sum(log, ["k"], ["t", "id"], F.col("id"), "out")

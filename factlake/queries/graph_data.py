@@ -64,8 +64,8 @@ def lines(t) -> Graph:
         ),
         "n",
     ).df
-    ahead = next_value(nodes, ["ord"], ["id"], F.col("id"), "_next")
-    both = next_value(ahead, ["ord", "flag"], ["id"], F.col("id"), "_same")
+    ahead = next_value(nodes, ["ord"], ["id"], F.col("id"), "_next", nullable=False)
+    both = next_value(ahead, ["ord", "flag"], ["id"], F.col("id"), "_same", nullable=False)
     pair = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
     edges = both.select(F.explode(F.array(pair("id", "_next"), pair("_same", "id"))).alias("_e")).select("_e.*")
     edges = scratch.put(edges.filter("src IS NOT NULL AND dst IS NOT NULL"), "e").df

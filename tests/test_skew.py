@@ -41,8 +41,8 @@ def test_small_groups_are_not_cut(spark, hot):
 
 def test_groups_within_groups_share_a_shuffle(spark, hot):
     some = spark.range(3000).selectExpr("id", "id div 30 AS k", "id % 2 AS f")
-    once = skew.next_value(some, ["k"], ["id"], F.col("id"), "a")
-    twice = skew.next_value(once, ["k", "f"], ["id"], F.col("id"), "b")
+    once = skew.next_value(some, ["k"], ["id"], F.col("id"), "a", nullable=False)
+    twice = skew.next_value(once, ["k", "f"], ["id"], F.col("id"), "b", nullable=False)
     assert twice._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     want = some.filter("id % 30 < 28").selectExpr("id", "id + 1 AS a", "id + 2 AS b")
     assert rows(twice.filter("b IS NOT NULL"), "id", "a", "b") == rows(want, "id", "a", "b")

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.plans.scratch import Scratch
-from factlake.plans.skew import next_value
+from factlake.plans.skew import next_value, slice_groups
 
 NODES_SQL = """nodes AS (
     SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS ord, min(l_returnflag) AS flag,
@@ -40,7 +40,12 @@ WITH_COMP = f"{WITH_CLOSURE}, {COMP_SQL}"
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
+    #: Distinct edges.
     edges: DataFrame
+    #: The same edges as they were found, near ones together: one may be there twice, and operators that take distinct edges do so anyway.
+    arcs: DataFrame | None = None
+    #: ``(id, _next, _after)``: the next line, and the next one with the same flag.
+    links: DataFrame | None = None
 
     def ids(self, condition: str) -> DataFrame:
         return self.nodes.filter(condition).select("id")
@@ -48,29 +53,31 @@ class Graph:
 
 def lines(t) -> Graph:
     scratch = Scratch(t.spark, "lines")
-    nodes = scratch.save(
-        t.lineitem.groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.min("l_returnflag").alias("flag"),
-            F.min("l_linestatus").alias("status"),
-            F.min("l_suppkey").alias("supp"),
-        )
-        .select(
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-            F.col("l_orderkey").alias("ord"),
-            "flag",
-            "status",
-            "supp",
-        ),
-        "n",
-    ).df
-    ahead = next_value(nodes, ["ord"], ["id"], F.col("id"), "_next", nullable=False)
-    both = next_value(ahead, ["ord", "flag"], ["id"], F.col("id"), "_same", nullable=False)
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"),
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_suppkey").alias("supp"),
+    )
+    whole = slice_groups(rows, ["ord"], ["line"]).cut is None
+    if whole:
+        # no order is large: nodes and both neighbours come out of one shuffle
+        rows = rows.repartition("ord")
+    found = rows.groupBy("ord", "line").agg(*[F.min(c).alias(c) for c in ("flag", "status", "supp")])
+    nodes = found.withColumn("id", F.col("ord") * 8 + F.col("line"))
+    if not whole:
+        nodes = scratch.put(nodes, "n").df
+
+    def ahead(df: DataFrame, by: list[str], out: str) -> DataFrame:
+        if whole:
+            return df.withColumn(out, F.lead("id").over(Window.partitionBy(*by).orderBy("line")))
+        return next_value(df, by, ["id"], F.col("id"), out, nullable=False)
+
+    # ``_after`` is the line whose earlier line with the same flag this one is
+    both = ahead(ahead(nodes, ["ord"], "_next"), ["ord", "flag"], "_after")
+    both = scratch.put(both.select("id", "ord", "flag", "status", "supp", "_next", "_after"), "n").df
     pair = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    edges = both.select(F.explode(F.array(pair("id", "_next"), pair("_same", "id"))).alias("_e")).select("_e.*")
-    edges = scratch.put(edges.filter("src IS NOT NULL AND dst IS NOT NULL"), "e").df
-    # distinct once more costs an operator nothing: Catalyst makes one of both
-    return Graph(nodes, edges.distinct())
+    arcs = both.select(F.explode(F.array(pair("id", "_next"), pair("_after", "id"))).alias("_e")).select("_e.*")
+    arcs = arcs.filter("src IS NOT NULL AND dst IS NOT NULL")
+    return Graph(both.drop("_next", "_after"), arcs.distinct(), arcs, both.select("id", "_next", "_after"))
 
 
 def copies(t) -> Graph:

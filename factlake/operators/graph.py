@@ -85,7 +85,8 @@ def transitive_closure(
     if nodes is not None:
         assert_edges_closed(edges, nodes)
     scratch = Scratch(edges.sparkSession, "closure")
-    arcs = scratch.save(edges.select("src", "dst").distinct(), "e").df
+    # as found: edges that stand together are settled together
+    arcs = scratch.put(edges.select("src", "dst"), "e").df
     ends = arcs.select(F.col("src").alias("id")).unionByName(arcs.select(F.col("dst").alias("id"))).distinct()
     comp = scratch.save(strong_components(arcs, ends, max_rounds=max_rounds), "c").df
     from_ = comp if sources is None else comp.join(sources.select(F.col("id").alias("node")), "node", "left_semi")

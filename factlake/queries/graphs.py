@@ -72,7 +72,7 @@ def g3_sources(t):
 )
 def g4(t):
     g = lines(t)
-    return graph.reflexive_closure(g.edges, g.nodes)
+    return graph.reflexive_closure(g.arcs, g.nodes)
 
 
 @query("g5_strong_components", f"{WITH_COMP} SELECT node, comp FROM comp")

@@ -63,9 +63,10 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """``(chunk, term, times)``: the terms of each different chunk, only A-Z lower-cased."""
+    """``chunks`` with a row for each ``term`` of a chunk, only A-Z lower-cased, in its place; a term that it has twice gives two rows."""
     lower = F.translate("chunk", _UPPER, _LOWER)
-    return chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    rest = [c for c in chunks.columns if c != "chunk"]
+    return chunks.select(*rest, F.explode(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("term"))
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -137,7 +138,7 @@ def divergence(
     values come first, then items by bytes.
 
     Texts are cut at white space into chunks, which are counted in each document and added up by source; each
-    different chunk is cut into terms once, and its terms are joined back.  Whether a term stands in enough documents
+    different chunk of a source is cut into terms once, where it is added up.  Whether a term stands in enough documents
     follows from its chunks' numbers of documents, or else from the one or two documents of each.  The sum of a pair is that of two sources
     without terms, plus what each adds by its own terms (alike for equal shares), plus a correction for
     terms that both have: memory for a block of pairs, output for each pair of sources.
@@ -154,12 +155,11 @@ def divergence(
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), filled(lang_col, "lang"), filled(source_col, "source"), F.col(text_col).cast("binary").alias("text"))
     groups = scratch.save(rows.select("lang", "source").distinct(), "g").df
-    chunks = scratch.save(chunk_counts(rows), "c").df
     # one row for each group, chunk and term: written, as the counts and the exact test read it
-    having = scratch.save(chunks.join(chunk_terms(chunks), "chunk").withColumn("n", F.col("n") * F.col("times")).drop("chunk", "times"), "t").df
+    having = scratch.save(chunk_terms(chunk_counts(rows)), "t").df
     bounds = [F.sum("docs").alias("most"), F.max("docs").alias("fewest")]
     counts = scratch.save(having.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), *bounds), "n").df
-    # a document is in one source, so the sources' bounds add up; only terms between both are looked at again, and all
+    # a document is in one source, so the sources' bounds add up (a chunk that has a term twice only raises the upper one); only terms between both are looked at again, and all
     # chunks of these stand in one or two documents, which are known
     known = counts.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.sum("fewest").alias("fewest")).filter(F.col("most") >= min_docs)
     known = scratch.save(known, "b").df

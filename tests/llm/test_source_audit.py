@@ -71,6 +71,21 @@ def test_documents_of_a_term_over_several_chunks(spark):
     assert got == brute(rows) and {g[3] for g in got if g[2] == "term"} <= {"term"}
 
 
+def test_a_term_twice_in_a_chunk(spark):
+    # counted twice, but its document once
+    rows = [(1, "foo-foo bar", "en", "a"), (2, "foo-FOO", "en", "b"), (3, "bar, bar", "en", "a"), (4, "bar", "en", "b")]
+    got = run(spark, rows)
+    assert got == brute(rows) and {g[3] for g in got if g[2] == "term"} <= {"bar"}
+
+
+def test_chunks_are_cut_where_they_are_added_up(spark):
+    docs = documents(spark, [(1, "foo-foo bar", "en", "a")]).selectExpr("doc_id AS row", "lang", "source", "cast(text AS binary) AS text")
+    found = source_audit.chunk_terms(source_audit.chunk_counts(docs))
+    # no further shuffle, no join
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.term, r.n) for r in found.collect()) == [("bar", 1), ("foo", 1), ("foo", 1)]
+
+
 def test_empty_table_and_limits(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None, None)]) == []

@@ -18,6 +18,8 @@ UND = "und"
 _NEVER = 255
 #: Bytes of text that a task works on at a time, and those hashed at a time.
 _SLICE, _BLOCK = 1 << 22, 1 << 18
+#: Rows of phrases that a task holds to add them up.
+_HELD = 1 << 19
 _BLANKS = b" \t"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
@@ -161,6 +163,28 @@ def phrase_rows(at: np.ndarray, k: int, key: np.ndarray, word: np.ndarray, words
     return pa.RecordBatch.from_arrays(cols, ["lang", "k", "phrase", "f"])
 
 
+def added_up(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``read_phrases`` with those of one phrase made one, as far as ``held`` rows reach."""
+    rows: list[pa.RecordBatch] = []
+    total = 0
+
+    def one_each() -> list[pa.RecordBatch]:
+        summed = pa.Table.from_batches(rows).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")])
+        return summed.select(["lang", "k", "phrase", "f_sum"]).rename_columns(["lang", "k", "phrase", "f"]).combine_chunks().to_batches()
+
+    for batch in batches:
+        rows.append(batch)
+        total += batch.num_rows
+        if total >= held:
+            rows = one_each()
+            total = sum(b.num_rows for b in rows)
+            if 4 * total >= 3 * held:
+                yield from rows
+                rows, total = [], 0
+    if total:
+        yield from one_each()
+
+
 def frequent_phrases(
     docs: DataFrame,
     text_col: str = "text",
@@ -178,8 +202,8 @@ def frequent_phrases(
     after both its parts have reached ``least``.  After one full cycle a phrase's count is final; below ``least``
     it goes.  The scan ends a full cycle after the last phrase that reached ``least``.  These counts are by a number
     of 64 bits for the phrase, which keeps the words of rare phrases out of the shuffles; phrases that share a
-    number can only gain.  A last scan of all rows counts the phrases that are left by their words, so
-    the result is exact.
+    number can only gain.  A last scan of all rows counts the phrases that are left by their words, which each task
+    adds up over all it reads, so the result is exact.
 
     What the tasks know of the phrases so far is one byte for each of 2^``slot_bits`` slots, whatever the size of
     the corpus; the driver collects numbers of slots only.  ``docs`` is read in each step (up to ``shards * longest``, at
@@ -230,8 +254,8 @@ def frequent_phrases(
     shared = spark.sparkContext.broadcast(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in _words(batches):
-            yield from read_phrases(words, shared.value, longest)
+        found = (rows for words in _words(batches) for rows in read_phrases(words, shared.value, longest))
+        yield from added_up(found, _HELD)
 
     by_words = rows.mapInArrow(read, _PHRASES).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
     table = scratch.save(by_words.filter((F.col("k") == 0) | (F.col("f") >= least)), "f").df

@@ -96,6 +96,22 @@ def test_equal_hashes_are_told_apart():
     assert sorted(zip(rows["phrase"].to_pylist(), rows["f"].to_pylist())) == [("a", 2), ("b", 2)]
 
 
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_a_task_adds_up_its_phrases(held):
+    def batches():
+        for i in range(50):
+            yield pa.RecordBatch.from_pydict({"lang": ["en", "en", "fr"], "k": pa.array([1, 1, 1], pa.int32()), "phrase": ["a", "b", "a"], "f": [1, 2, i]})
+
+    found, made = Counter(), 0
+    for batch in collocations.added_up(batches(), held):
+        made += batch.num_rows
+        for row in batch.to_pylist():
+            found[row["lang"], row["k"], row["phrase"]] += row["f"]
+    assert found == {("en", 1, "a"): 50, ("en", 1, "b"): 100, ("fr", 1, "a"): 1225}
+    # one row for each phrase, not one for each slice of text
+    assert made == (3 if held == 1000 else 150)
+
+
 def test_phrases_begin_after_their_parts():
     words = Words(pa.array([b"a b a b. b"]), pa.array(["en"]))
 

@@ -81,6 +81,10 @@ def links(fps: DataFrame, hot_bucket: int = 512) -> DataFrame:
     share is not paired out: there the other half is cut in two, and one of the two 16-bit parts must
     again be within one bit, so that a fingerprint meets at most 2 * 17 * 65,536 others in such a bucket
     whatever the size of the table, and no link is lost.
+
+    Spark takes what ``explode`` makes for as large as its input, so it would broadcast the lookups, 66 for each
+    fingerprint and 17 times that in hot buckets, of a table that it sizes below the broadcast limit: a hint keeps
+    these joins shuffled.
     """
     scratch = Scratch(fps.sparkSession, "simhash")
     filed = fps.select("fp", F.posexplode(_pieces(F.col("fp"), 32, 2)).alias("seg", "val"))
@@ -91,8 +95,8 @@ def links(fps: DataFrame, hot_bucket: int = 512) -> DataFrame:
 
     hot = scratch.save(filed.groupBy("seg", "val").count().filter(F.col("count") > hot_bucket).select("seg", "val"), "hot")
     if not hot.rows:
-        return filed.join(asked, ["seg", "val"]).filter(near).select(*pair).distinct()
-    cold = filed.join(hot.df, ["seg", "val"], "left_anti").join(asked, ["seg", "val"])
+        return filed.hint("merge").join(asked, ["seg", "val"]).filter(near).select(*pair).distinct()
+    cold = filed.join(hot.df, ["seg", "val"], "left_anti").hint("merge").join(asked, ["seg", "val"])
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         other = F.when(F.col("seg") == 0, F.shiftrightunsigned(name, 32)).otherwise(F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -102,7 +106,7 @@ def links(fps: DataFrame, hot_bucket: int = 512) -> DataFrame:
     seek = parts(asked.join(hot.df, ["seg", "val"], "left_semi"), "q")
     seek = seek.select("q", "seg", "val", "part", F.explode(_ball(16)).alias("_m"), "pval")
     seek = seek.select("q", "seg", "val", "part", F.col("pval").bitwiseXOR(F.col("_m")).alias("pval"))
-    deep = fine.join(seek, ["seg", "val", "part", "pval"])
+    deep = fine.hint("merge").join(seek, ["seg", "val", "part", "pval"])
     return cold.filter(near).select(*pair).unionByName(deep.filter(near).select(*pair)).distinct()
 
 

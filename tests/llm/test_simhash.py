@@ -64,6 +64,17 @@ def test_links_by_brute_force(spark):
         assert {(r.src, r.dst) for r in simhash.links(fps, limit).collect()} == want
 
 
+def test_lookups_are_not_broadcast(spark, tmp_path):
+    # a table of a few KB, which Spark would take the lookups made of it for, too
+    values = [(i << 40 | i % 7,) for i in range(300)]
+    spark.createDataFrame(values, "fp bigint").write.parquet(str(tmp_path / "fps"))
+    fps = spark.read.parquet(str(tmp_path / "fps"))
+    for hot_bucket, joins in ((512, 1), (20, 2)):
+        plan = simhash.links(fps, hot_bucket)._jdf.queryExecution().executedPlan().toString()
+        inner = [line for line in plan.split("\n") if "Join" in line and "Inner" in line]
+        assert len(inner) == joins and all("SortMergeJoin" in line for line in inner)
+
+
 def test_components_follow_links(spark):
     base = prose(11, 4000)
     rows = [(i, base.replace(w, w + "x", 1)) for i, w in enumerate(base.split()[100:112])] + [(50, base), (51, base), (60, prose(12, 300))]

@@ -233,6 +233,45 @@ def test_expand_dependencies(spark):
         graph.expand_dependencies(deps.filter("parent <> 'sub'"), roots, leaf)
 
 
+def test_expansion_keeps_only_what_is_read(spark, monkeypatch):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from factlake.plans.scratch import Scratch
+
+    kept, place = [], Scratch.path
+    monkeypatch.setattr(Scratch, "path", lambda self, label="t": kept.append(path := place(self, label)) or path)
+    deps = table(spark, [("exe", 0, "lib"), ("exe", 1, "x.c"), ("lib", 0, "y.c"), ("lib", 1, "x.c")], "parent string, pos bigint, child string")
+    got = graph.expand_dependencies(deps, table(spark, [("exe",)], "node string"), F.col("node").endswith(".c"))
+    found = {Path(f.removeprefix("file:")).parent for f in got.inputFiles()}
+    there = {Path(p) for p in kept if Path(p).exists() and not Path(p).name.startswith("x")}
+    assert there == found and len(kept) > len(there) == 2
+    assert rows(got, "leaf", "number") == [("x.c", 1), ("x.c", 2), ("y.c", 0)]
+    # without roots there is nothing to expand
+    none = table(spark, [], "node string")
+    assert graph.expand_dependencies(deps, none, F.col("node").endswith(".c")).collect() == []
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from factlake.plans.scratch import Scratch
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()
+    scratch, before = Scratch(spark, "test"), held()
+    sums = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    for made in (lambda: scratch.put(sums.orderBy("k")).df.collect(), lambda: scratch.some(sums)):
+        assert made()
+        until = time.time() + 20
+        while held() > before and time.time() < until:
+            time.sleep(0.2)
+        assert held() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 def test_rounds_are_bounded_loudly(spark):
     chain = edges(spark, [(i, i + 1) for i in range(9)])
     with pytest.raises(NotConverged):

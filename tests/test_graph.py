@@ -260,15 +260,16 @@ def test_writes_leave_no_shuffle_files(spark):
 
     from factlake.plans.scratch import Scratch
 
-    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    held = lambda: {b for b in files().mkString(" ").split() if b.startswith("shuffle_")}
     scratch, before = Scratch(spark, "test"), held()
     sums = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
     for made in (lambda: scratch.put(sums.orderBy("k")).df.collect(), lambda: scratch.some(sums)):
         assert made()
-        until = time.time() + 20
-        while held() > before and time.time() < until:
+        until = time.time() + 10
+        while held() - before and time.time() < until:
             time.sleep(0.2)
-        assert held() <= before
+        assert not held() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
 
 
